@@ -10,8 +10,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_KEYS = 10_000
@@ -150,10 +151,8 @@ def split_values(df: DataFrame, text: str, keys: Sequence[str], carry: Sequence[
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "pos", "param_key", "val")
 
 
-def value_set(text: str, keys: Sequence[str]):
+def value_set(text: str, keys: Sequence[str]) -> Column:
     """A column: the set of (key, value) pairs of a packed text as one canonical string, '' for none."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def canonical(texts: pd.Series) -> pd.Series:
         tokenize = value_tokenizer(keys)
