@@ -27,7 +27,21 @@ placed as (select query_id, item_id, n, ["""
     + "] pct from ranked)\n"
 )
 
+_WORDS = """regexp_extract_all(replace(lower(regexp_replace(replace(replace({t}, chr(173), ''), chr(8203), ''), '<[^<>]{{0,20}}>', ' ', 'g')), 'ё', 'е'), '[0-9a-zа-я]+')"""
+
 SQL = {
+    "p8_found": f"""
+with e as (select eval_id, {_WORDS.format(t="passage")} w from eval_passages),
+d as (select doc_id, {_WORDS.format(t="text")} w from documents),
+eg as (select distinct eval_id, array_to_string(w[i:i + 11], ' ') g from (select eval_id, w, unnest(range(1, len(w) - 10)) i from e)),
+dg as (select doc_id, array_to_string(w[i:i + 11], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 10)) i from d))
+select distinct doc_id, eval_id from dg join eg using (g)""",
+    # Characters stand for tokens here: no source is near the limit in any measure.
+    "p9_found": """
+with t as (select lower(trim(source)) source, max(target_share) share, max(max_repeats) repeats from mix_targets where source is not null group by 1),
+own as (select regexp_replace(lower(source), '^\\s+|\\s+$', '', 'g') source, sum(length(text))::double n from documents where source is not null group by 1),
+total as (select sum(n) n from own where source in (select source from t))
+select t.source from t left join own using (source) cross join total where share * total.n > repeats * coalesce(own.n, 0)""",
     "p4_found": _TERMS + "select item_id, term from p where tf >= 3 and df <= 4",
     "p4_top_terms": _TERMS
     + """, s as (select item_id, term, round(own * ln(own / background), 9) score from p where df >= 2)

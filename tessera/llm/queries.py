@@ -11,8 +11,9 @@ from tessera.llm.leakage import leaked, without_leaks
 from tessera.llm.leximin import leximin_best, score_places
 from tessera.llm.mixing import clean_name, known_targets, leaf_sizes, mix, mix_plan, short_sources, sized_records
 from tessera.llm.split import repeated_groups, search_key, stratified_split
+from tessera.llm.subjects import LABELLED, Terms, labelled_sample, learn_terms, subject_areas
 from tessera.llm.topn import best_items, top_n
-from tessera.operators.packed import known_keys
+from tessera.operators.packed import known_keys, split_values
 
 ITEM_TEXTS = ["item_title_raw", "item_description_raw", "item_infm_params_text"]
 
@@ -125,7 +126,38 @@ def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
     return aims.join(mixed, "source", "left").select("source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.round(F.coalesce("tokens", F.lit(0)) / F.sum("tokens").over(whole), 9).alias("actual_share"))
 
 
-QUERIES = [p2_found, p2_split, p4_found, p4_top_terms, p5_found, p6_found, p6_ranking, p7_found, p8_found, p8_cleaned, p9_found, p9_mix]
+def _listing_sample(spark: SparkSession, folder: str, most: int) -> list[tuple[str, list]]:
+    """Listings as labelled texts: their params name the area. At most ``most``, of least hash."""
+    if most <= 0:
+        return []
+    items = table(spark, folder, "benchmark_items").where("item_id is not null and item_infm_params_text is not null")
+    some = items.orderBy(F.xxhash64(F.lit(13), "item_id"), "item_id").limit(most)
+    text = some.select("item_id", F.concat_ws("\n", "item_title_raw", "item_description_raw").alias("text"), "item_infm_params_text")
+    areas = table(spark, folder, "subject_areas").select(F.col("about").alias("val"), "subject_id")
+    values = split_values(text, "item_infm_params_text", known_keys(table(spark, folder, "param_keys")), ["item_id", "text"]).where("param_key = 'Направление'")
+    named = values.join(F.broadcast(areas), "val").groupBy("item_id", "text").agg(F.collect_set("subject_id").alias("own"))
+    return [(r["text"], sorted(r["own"])) for r in named.where(F.size("own") == 1).orderBy("item_id", "text").collect()]
+
+
+def _subject_terms(spark: SparkSession, folder: str) -> Terms:
+    """Learned from at most ``LABELLED`` texts: labelled documents, filled up with listings."""
+    labelled = labelled_sample(table(spark, folder, "documents"), table(spark, folder, "subject_labels"), ("doc_id", "text"), "subject_id")
+    return learn_terms(labelled + _listing_sample(spark, folder, LABELLED - len(labelled)))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The areas that each document's text deals with."""
+    return subject_areas(table(spark, folder, "documents"), _subject_terms(spark, folder), ("doc_id", "text")).select("doc_id", "subject_id")
+
+
+def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and characters by area; a document of several areas counts in each."""
+    docs = table(spark, folder, "documents")
+    found = subject_areas(docs, _subject_terms(spark, folder), ("doc_id", "text"))
+    return found.join(docs.select("doc_id", "n_chars"), "doc_id").groupBy("subject_id").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars"))
+
+
+QUERIES = [p2_found, p2_split, p4_found, p4_top_terms, p5_found, p6_found, p6_ranking, p7_found, p8_found, p8_cleaned, p9_found, p9_mix, p10_found, p10_composition]
 
 
 def queries() -> dict:
