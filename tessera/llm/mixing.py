@@ -145,7 +145,7 @@ def select_records(sized: DataFrame, plan: Sequence[dict], record: str, seed: in
 
     ``sized`` has the record id, ``leaf`` (the place in ``plan``) and ``tokens``. A leaf gives
     floor(budget / size) whole epochs and, of the next epoch's seeded order, the longest
-    prefix within the rest. The order is cut into hash buckets, so no leaf is ever sorted
+    prefix within the rest; a record without tokens is never selected. The order is cut into hash buckets, so no leaf is ever sorted
     as one.
     """
     spark = sized.sparkSession
@@ -160,7 +160,7 @@ def select_records(sized: DataFrame, plan: Sequence[dict], record: str, seed: in
     inside = F.sum("tokens").over(Window.partitionBy("leaf", "bucket").orderBy(F.shiftleft("h", 10), "h", record).rowsBetween(Window.unboundedPreceding, 0))
     cut = ordered.withColumn("upto", inside).join(before, ["leaf", "bucket"])
     copies = F.col("whole") + F.when(F.col("before") + F.col("upto") <= F.col("rest"), 1).otherwise(0)
-    return cut.select(record, "leaf", "tokens", copies.cast("int").alias("copies")).where("copies > 0")
+    return cut.select(record, "leaf", "tokens", copies.cast("int").alias("copies")).where("copies > 0 and tokens > 0")
 
 
 def clean_name(column: str) -> Column:

@@ -138,7 +138,7 @@ def learn_terms(labelled: Iterable[tuple[str | None, Sequence]], least_df: int =
         if share.max() >= focus and (len(words) == 1 or max(df[w] for w in words) <= common * n):
             names.append(term)
             shares.append(share)
-    found = Terms(subjects, names, np.array(shares).reshape(-1, len(subjects)), np.array([math.log(1 + n / df[t]) for t in names]))
+    found = Terms(subjects, names, np.array(shares).reshape(len(names), len(subjects)), np.array([math.log(1 + n / df[t]) for t in names]))
     right = np.zeros((len(GRID), len(subjects)))
     said = np.zeros_like(right)
     true = np.zeros(len(subjects))
