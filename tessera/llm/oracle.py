@@ -56,12 +56,12 @@ select query_id, row_number() over (partition by query_id order by total desc, i
     + """, vec as (select query_id, item_id, list_sort(pct) v from placed)
 select query_id, row_number() over (partition by query_id order by v desc, item_id) rnk, item_id, v[1] weakest from vec qualify rnk <= 10""",
     "p7_found": """
-with ok_items as (select item_id, any_value(item_vector::double[64]) v from item_vectors
-    where item_vector is not null and len(item_vector) = 64 and item_id is not null and len(list_filter(item_vector, lambda x: x is null or isnan(x))) = 0
-    and len(list_filter(item_vector, lambda x: x <> 0)) > 0 group by item_id),
-ok_queries as (select query_id, query_vector::double[64] v from query_vectors
-    where query_vector is not null and len(query_vector) = 64 and query_id is not null and len(list_filter(query_vector, lambda x: x is null or isnan(x))) = 0
-    and len(list_filter(query_vector, lambda x: x <> 0)) > 0),
-scored as (select query_id, item_id, round(array_cosine_similarity(q.v, i.v), 12) c from ok_queries q cross join ok_items i)
+with fine as (select item_id i, item_vector v, coalesce(len(item_vector) = 64 and len(list_filter(item_vector, lambda x: x is null or isnan(x))) = 0
+    and len(list_filter(item_vector, lambda x: x <> 0)) > 0, false) ok, 'item' side from item_vectors
+  union all select query_id, query_vector, coalesce(len(query_vector) = 64 and len(list_filter(query_vector, lambda x: x is null or isnan(x))) = 0
+    and len(list_filter(query_vector, lambda x: x <> 0)) > 0, false), 'query' from query_vectors),
+ok_items as (select i item_id, any_value(case when ok then v::double[] end) v from fine where ok and side = 'item' and i is not null group by 1),
+ok_queries as (select i query_id, any_value(case when ok then v::double[] end) v from fine where ok and side = 'query' and i is not null group by 1),
+scored as (select query_id, item_id, round(list_cosine_similarity(q.v, i.v), 12) c from ok_queries q cross join ok_items i)
 select query_id, item_id from scored qualify row_number() over (partition by query_id order by c desc, item_id) <= 5""",
 }
