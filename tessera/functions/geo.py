@@ -39,4 +39,5 @@ def bin_of(value: Column, edges: Sequence[float]) -> Column:
 
 def curve(bin_: Column, scores: Sequence[float], missing: float = 0.0) -> Column:
     """The score of a bin; ``missing`` where there is none."""
-    return F.coalesce(F.element_at(F.array(*[F.lit(float(s)) for s in scores]), bin_ + 1), F.lit(missing))
+    # Not coalesce: element_at of a literal array gives its last entry for a null place.
+    return F.when(bin_.isNull(), F.lit(missing)).otherwise(F.element_at(F.array(*[F.lit(float(s)) for s in scores]), bin_ + 1))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUERY_COLUMNS = ("search_query", "search_location_id", "search_is_delivery_search", "search_infm_params_text", "search_category")
@@ -28,3 +28,17 @@ def shuffled(key: Column, seed: int) -> Column:
 def uniform(key: Column, seed: int) -> Column:
     """A number in (0, 1) from the first 12 hex digits of ``shuffled``."""
     return (F.conv(F.substring(shuffled(key, seed), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+
+
+def numbered(df: DataFrame, key: str, seed: int, column: str = "slot") -> DataFrame:
+    """``df`` with the place (from 0) of each row in the ``shuffled`` order of its unique key.
+
+    The order is cut at hash prefixes; places inside a prefix are counted apart and moved by
+    the number of rows before it, so no task sees more than a 4096th of the rows.
+    """
+    order = df.withColumn("__h", shuffled(F.col(key), seed)).withColumn("__b", F.substring("__h", 1, 3))
+    sizes = order.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__b").orderBy("__h", key))
+    placed = order.withColumn("__i", inside).join(F.broadcast(before), "__b")  # at most 4096 rows
+    return placed.select(*df.columns, (F.col("__before") + F.col("__i") - 1).cast("bigint").alias(column))

@@ -34,8 +34,8 @@ def covered(a: str, b: str) -> str:
 
 
 def km(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
-    return f"""2 * 6371.0::double * asin(sqrt(least(1.0::double, greatest(0.0::double, pow(sin((radians({lat2}) - radians({lat1})) / 2), 2)
-        + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin((radians({lon2}) - radians({lon1})) / 2), 2)))))"""
+    return f"""case when {lat1} is not null and {lon1} is not null and {lat2} is not null and {lon2} is not null then 2 * 6371.0::double * asin(sqrt(least(1.0::double, greatest(0.0::double, pow(sin((radians({lat2}) - radians({lat1})) / 2), 2)
+        + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin((radians({lon2}) - radians({lon1})) / 2), 2))))) end"""
 
 
 def real(c: str) -> str:

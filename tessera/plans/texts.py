@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.keys import composite_key, short_id, shuffled, uniform
+from tessera.functions.keys import composite_key, numbered, short_id, shuffled, uniform
 from tessera.functions.text import char_ngrams, normalize, tokens, truncate, word_count
 from tessera.operators.index import Field, Index, build_index, item_fields, query_terms
 from tessera.plans import sql
 from tessera.sources.tables import corpus, read_items, read_pairs, read_queries, read_table
 
 TEXTS = ["item_id", "item_title_raw", "item_description_raw", "item_infm_params_text"]
-COUNT = F.count(F.lit(1))
 
 
 def corpus_index(spark: SparkSession, folder: str) -> Index:
@@ -57,18 +56,18 @@ def truncate_text(spark, folder):
 
 def _title_grams(spark, folder):
     grams = corpus(spark, folder, ["item_id", "item_title_raw"]).select("item_id", F.explode(char_ngrams("item_title_raw")).alias("gram"))
-    return grams.groupBy("item_id", "gram").agg(COUNT.alias("tf"))
+    return grams.groupBy("item_id", "gram").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def char_ngram_counts(spark, folder):
-    return _title_grams(spark, folder).groupBy("gram").agg(F.sum("tf").alias("n"), COUNT.alias("items"))
+    return _title_grams(spark, folder).groupBy("gram").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("items"))
 
 
 def tfidf_weights(spark, folder):
     """Sublinear tf, smoothed idf, unit length, grams of at least three items."""
     tf = _title_grams(spark, folder)
     n = corpus(spark, folder, ["item_id", "item_title_raw"]).count()
-    df = tf.groupBy("gram").agg(COUNT.alias("df")).where("df >= 3").select("gram", (F.log((1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+    df = tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df >= 3").select("gram", (F.log((1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = tf.join(df, "gram").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
     size = raw.groupBy("item_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
     return raw.join(size, "item_id").select("item_id", "gram", F.round(F.col("w") / F.col("size"), 6).alias("weight"))
@@ -78,7 +77,7 @@ def frequent_words(spark, folder):
     """Words in the params of over a fifth of the items."""
     items = corpus(spark, folder, ["item_id", "item_infm_params_text"])
     n = items.count()
-    held = items.select(F.explode(F.array_distinct(tokens("item_infm_params_text"))).alias("word")).groupBy("word").agg(COUNT.alias("items"))
+    held = items.select(F.explode(F.array_distinct(tokens("item_infm_params_text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("items"))
     return held.where(F.col("items") > 0.2 * n)
 
 
@@ -98,8 +97,8 @@ def random_background(spark, folder):
     """For each pair an item drawn with replacement, by numbered hash buckets of the corpus."""
     items = corpus(spark, folder, ["item_id"])
     n = items.count()
-    numbered = items.select(F.col("item_id").alias("drawn"), (F.row_number().over(Window.orderBy(shuffled(F.col("item_id"), 3), "item_id")) - 1).cast("bigint").alias("slot"))
-    return read_pairs(spark, folder, ["pair_id"]).withColumn("slot", F.floor(uniform(F.col("pair_id"), 5) * n).cast("bigint")).join(numbered, "slot").select("pair_id", "drawn")
+    slots = numbered(items, "item_id", 3).withColumnRenamed("item_id", "drawn")
+    return read_pairs(spark, folder, ["pair_id"]).withColumn("slot", F.floor(uniform(F.col("pair_id"), 5) * n).cast("bigint")).join(slots, "slot").select("pair_id", "drawn")
 
 
 def postings(spark, folder):
