@@ -41,14 +41,15 @@ def total(config: Fusion, weights: dict[str, float]) -> Column:
         return sum((w / (config.rrf_k + place(c)) for c, w in weights.items() if w), out)
     out = F.col("lexical")
     if config.mode == "normalized":
-        top = F.max("lexical").over(whole)
-        out = out / F.when(top == 0, 1.0).otherwise(top)
+        out = out / F.when(F.col("__top") == 0, 1.0).otherwise(F.col("__top"))
     return sum((w * F.col(c) for c, w in weights.items() if w), out)
 
 
 def fuse(components: DataFrame, weights: dict[str, float], k: int, config: Fusion = Fusion()) -> DataFrame:
     """The ``k`` best of each query: rnk, the components and their total. A weight of 0 leaves its signal out of the total."""
-    summed = components.withColumn("total", F.round(total(config, weights), 9))
+    # The query's highest lexical score comes from an aggregate, so only the limited rank is a window.
+    topped = components.join(components.groupBy("query").agg(F.max("lexical").alias("__top")), "query") if config.mode == "normalized" else components
+    summed = topped.withColumn("total", F.round(total(config, weights), 9)).drop("__top")
     order = Window.partitionBy("query").orderBy(F.col("total").desc(), "doc")
     ranked = summed.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= k)
     return ranked.withColumn("rnk", F.col("rnk").cast("bigint"))
