@@ -1,8 +1,9 @@
 """One ranking from several differently-scaled scores: leximin over in-group percentiles.
 
-Places are counted without putting a group into one task: equal values are merged first,
-the distinct values of a large group are cut into chunks at approximate quantiles, counts
-of whole chunks are summed over the few chunks, and only a chunk is ever sorted.
+Groups of a bounded size are ranked by plain windows. A larger group is never put into one
+task: its equal values are merged first, the distinct values are cut into chunks at
+approximate quantiles, counts of whole chunks are summed over the few chunks, and only a
+chunk is ever sorted. Both ways count exactly the same places.
 """
 
 from __future__ import annotations
@@ -15,24 +16,38 @@ from pyspark.sql import functions as F
 from tessera.llm.topn import top_n
 from tessera.operators.skew import enrich, salt_of
 
-CHUNK_FROM = 4096  # values of a group and score from which it is cut; the result doesn't depend on it
-CUTS = [k / 8 for k in range(1, 8)]
+LARGE = 50_000  # items of a group that one task may rank; beyond, the group is cut
+CUTS = [k / 16 for k in range(1, 16)]
 
 
-def score_places(df: DataFrame, group: str, item: str, scores: Sequence[str]) -> DataFrame:
+def score_places(df: DataFrame, group: str, item: str, scores: Sequence[str], large: int = LARGE) -> DataFrame:
     """(g, i, n_items, places, vector) for every distinct (group, item).
 
     ``places`` has for each score one plus the number of the group's items with a strictly
     higher value, ``vector`` the percentiles 1 - (place - 1) / valid values sorted
     ascending. An item that occurs more than once counts once, with its highest value of
     each score. Null and NaN have no place (null), count for nobody and stand as
-    percentile 0. Null groups and items take no part.
+    percentile 0. Null groups and items take no part. Groups of over ``large`` items are
+    ranked in pieces, with the same result.
     """
     number = lambda s: F.when(~F.isnan(F.col(s).cast("double")), F.col(s).cast("double"))
     once = df.where(F.col(group).isNotNull() & F.col(item).isNotNull()).groupBy(F.col(group).alias("g"), F.col(item).alias("i")).agg(
         *[F.max(number(s)).alias(f"s{k}") for k, s in enumerate(scores)]
     )
-    each = once.select("g", "i", F.posexplode(F.array(*[F.col(f"s{k}") for k in range(len(scores))])).alias("s", "v")).withColumn("salt", salt_of(["i"]))
+    sized = enrich(once, ["g"], partial={"__c": F.count(F.lit(1))}, total={"n_items": F.sum("__c")}, spread=["i"])
+    small = _by_windows(sized.where(F.col("n_items") <= large), len(scores))
+    return small.unionByName(_by_chunks(sized.where(F.col("n_items") > large), len(scores)))
+
+
+def _by_windows(sized: DataFrame, n: int) -> DataFrame:
+    whole = Window.partitionBy("g")
+    ranked = sized.select("g", "i", "n_items", *[F.when(F.col(f"s{k}").isNotNull(), F.rank().over(whole.orderBy(F.col(f"s{k}").desc_nulls_last()))).cast("bigint").alias(f"p{k}") for k in range(n)], *[F.count(f"s{k}").over(whole).alias(f"n{k}") for k in range(n)])
+    pct = [F.coalesce(1 - (F.col(f"p{k}") - 1) / F.nullif(F.col(f"n{k}"), F.lit(0)), F.lit(0.0)) for k in range(n)]
+    return ranked.select("g", "i", "n_items", F.array(*[F.col(f"p{k}") for k in range(n)]).alias("places"), F.array_sort(F.array(*pct)).alias("vector"))
+
+
+def _by_chunks(sized: DataFrame, n: int) -> DataFrame:
+    each = sized.select("g", "i", "n_items", F.posexplode(F.array(*[F.col(f"s{k}") for k in range(n)])).alias("s", "v")).withColumn("salt", salt_of(["i"]))
     there = each.where("v is not null")
     values = there.groupBy("g", "s", "v", "salt").agg(F.count(F.lit(1)).alias("c")).groupBy("g", "s", "v").agg(F.sum("c").alias("c"), F.collect_list("salt").alias("salts"))
     # Whatever approximate cuts come out, the counts are exact.
@@ -40,19 +55,18 @@ def score_places(df: DataFrame, group: str, item: str, scores: Sequence[str]) ->
         values,
         ["g", "s"],
         partial={"__q": F.percentile_approx("v", CUTS, 100), "__c": F.sum("c")},
-        total={"cuts": F.when(F.sum("__c") > CHUNK_FROM, F.array_distinct(F.flatten(F.collect_list("__q")))), "valid": F.sum("__c")},
+        total={"cuts": F.array_distinct(F.flatten(F.collect_list("__q"))), "valid": F.sum("__c")},
         spread=["v"],
-    ).withColumn("chunk", F.coalesce(F.size(F.filter("cuts", lambda x: x > F.col("v"))), F.lit(0)))
-    cut = cut.withColumn("chunk", F.greatest("chunk", F.lit(0))).drop("cuts")
+    )
+    cut = cut.withColumn("chunk", F.size(F.filter("cuts", lambda x: x > F.col("v")))).drop("cuts")
     above = cut.groupBy("g", "s", "chunk").agg(F.sum("c").alias("c"))
     above = above.select("g", "s", "chunk", F.coalesce(F.sum("c").over(Window.partitionBy("g", "s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("above"))
     inside = F.coalesce(F.sum("c").over(Window.partitionBy("g", "s", "chunk").orderBy(F.col("v").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = cut.withColumn("inside", inside).join(above, ["g", "s", "chunk"]).select("g", "s", "v", "valid", (1 + F.col("above") + F.col("inside")).alias("place"), F.explode("salts").alias("salt"))
-    rows = there.join(placed, ["g", "s", "v", "salt"]).select("g", "i", "s", "place", (1 - (F.col("place") - 1) / F.col("valid")).alias("pct"))
-    rows = rows.unionAll(each.where("v is null").select("g", "i", "s", F.lit(None).cast("bigint"), F.lit(0.0)))
-    wide = rows.groupBy("g", "i").agg(*[F.max(F.when(F.col("s") == k, F.col("place"))).alias(f"p{k}") for k in range(len(scores))], F.array_sort(F.collect_list("pct")).alias("vector"))
-    sized = enrich(wide, ["g"], partial={"__c": F.count(F.lit(1))}, total={"n_items": F.sum("__c")}, spread=["i"])
-    return sized.select("g", "i", "n_items", F.array(*[F.col(f"p{k}") for k in range(len(scores))]).alias("places"), "vector")
+    rows = there.join(placed, ["g", "s", "v", "salt"]).select("g", "i", "n_items", "s", "place", (1 - (F.col("place") - 1) / F.col("valid")).alias("pct"))
+    rows = rows.unionAll(each.where("v is null").select("g", "i", "n_items", "s", F.lit(None).cast("bigint"), F.lit(0.0)))
+    wide = rows.groupBy("g", "i", "n_items").agg(*[F.max(F.when(F.col("s") == k, F.col("place"))).alias(f"p{k}") for k in range(n)], F.array_sort(F.collect_list("pct")).alias("vector"))
+    return wide.select("g", "i", "n_items", F.array(*[F.col(f"p{k}") for k in range(n)]).alias("places"), "vector")
 
 
 def leximin_best(places: DataFrame, n: int) -> DataFrame:
