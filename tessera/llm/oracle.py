@@ -15,7 +15,7 @@ p as (select item_id, term, tf, df, (tf + 1000.0::double * (cf / n)) / (len + 10
 _PLACES = (
     """
 with once as (select query_id, item_id, """
-    + ", ".join(f"max(case when not isnan({s}) then {s} end) s{k}" for k, s in enumerate(("lexical", "geo", "facet", "microcat", "dense")))
+    + ", ".join(f"max(case when not (({s})::varchar = 'nan') then {s} end) s{k}" for k, s in enumerate(("lexical", "geo", "facet", "microcat", "dense")))
     + """ from candidates where query_id is not null and item_id is not null group by all),
 ranked as (select query_id, item_id, count(*) over (partition by query_id) n, """
     + ", ".join(f"case when s{k} is not null then rank() over (partition by query_id order by s{k} desc nulls last) end p{k}, count(s{k}) over (partition by query_id) n{k}" for k in range(5))
@@ -49,16 +49,16 @@ select item_id, row_number() over (partition by item_id order by score desc, ter
 qualify rnk <= 5""",
     "p5_found": """
 with once as (select query_id, item_id, max(total) total from candidates
-              where total is not null and not isnan(total) and query_id is not null and item_id is not null group by all)
+              where total is not null and not ((total)::varchar = 'nan') and query_id is not null and item_id is not null group by all)
 select query_id, row_number() over (partition by query_id order by total desc, item_id) rnk, item_id from once qualify rnk <= 10""",
     "p6_found": _PLACES + "select query_id, item_id from placed where n >= 10 and len(list_filter(places, lambda x: x <= 3)) >= 4",
     "p6_ranking": _PLACES
     + """, vec as (select query_id, item_id, list_sort(pct) v from placed)
 select query_id, row_number() over (partition by query_id order by v desc, item_id) rnk, item_id, v[1] weakest from vec qualify rnk <= 10""",
     "p7_found": """
-with fine as (select item_id i, item_vector v, coalesce(len(item_vector) = 64 and len(list_filter(item_vector, lambda x: x is null or isnan(x))) = 0
+with fine as (select item_id i, item_vector v, coalesce(len(item_vector) = 64 and len(list_filter(item_vector, lambda x: x is null or ((x)::varchar = 'nan'))) = 0
     and len(list_filter(item_vector, lambda x: x <> 0)) > 0, false) ok, 'item' side from item_vectors
-  union all select query_id, query_vector, coalesce(len(query_vector) = 64 and len(list_filter(query_vector, lambda x: x is null or isnan(x))) = 0
+  union all select query_id, query_vector, coalesce(len(query_vector) = 64 and len(list_filter(query_vector, lambda x: x is null or ((x)::varchar = 'nan'))) = 0
     and len(list_filter(query_vector, lambda x: x <> 0)) > 0, false), 'query' from query_vectors),
 ok_items as (select i item_id, any_value(case when ok then v::double[] end) v from fine where ok and side = 'item' and i is not null group by 1),
 ok_queries as (select i query_id, any_value(case when ok then v::double[] end) v from fine where ok and side = 'query' and i is not null group by 1),
