@@ -25,24 +25,30 @@ def as_column(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def lowered(text: str | Column) -> Column:
+    """Lower case with ё as е; '' for null."""
+    return F.replace(F.lower(F.coalesce(as_column(text), F.lit(""))), F.lit("ё"), F.lit("е"))
+
+
 def normalize(text: str | Column) -> Column:
     """Lower case, ё as е, runs of anything but 0-9 a-z а-я as one blank; '' for null."""
-    plain = F.translate(F.lower(F.coalesce(as_column(text), F.lit(""))), "ё", "е")
-    return F.trim(F.regexp_replace(plain, "[^0-9a-zа-я]+", " "))
+    return F.trim(F.regexp_replace(lowered(text), "[^0-9a-zа-я]+", " "))
+
+
+def runs(text: str | Column, least: int = 1) -> Column:
+    """The words of the normalised text that have at least ``least`` letters, without normalising first."""
+    return F.regexp_extract_all(lowered(text), F.lit(f"[0-9a-zа-я]{{{least},}}"), F.lit(0))
 
 
 def tokens(text: str | Column, stop: bool = True, least: int = LEAST_LENGTH) -> Column:
     """Normalised words of at least ``least`` letters, without stop words; repeats stay."""
-    def keep(t: Column) -> Column:
-        long = F.length(t) >= least
-        return long & ~t.isin(STOP_WORDS) if stop else long
-
-    return F.filter(F.split(normalize(text), " "), keep)
+    words = runs(text, least)
+    return F.filter(words, lambda t: ~t.isin(STOP_WORDS)) if stop else words
 
 
 def bare_tokens(text: str | Column) -> Column:
     """Distinct normalised words of any length, as facets are compared."""
-    return F.filter(F.array_distinct(F.split(normalize(text), " ")), lambda t: t != "")
+    return F.array_distinct(runs(text))
 
 
 def word_count(text: str | Column) -> Column:
@@ -66,7 +72,7 @@ def coverage(needed: Column, there: Column) -> Column:
 
 def char_ngrams(text: str | Column, least: int = 3, most: int = 5) -> Column:
     """Character n-grams of each normalised word between blanks; a word shorter than n once."""
-    words = F.filter(F.split(normalize(text), " "), lambda w: w != "")
+    words = runs(text)
 
     def of(word: Column) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))

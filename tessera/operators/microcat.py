@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import char_ngrams, normalize
+from tessera.session import durable
 
 MOST_CLASSES = 10_000
 
@@ -21,8 +22,8 @@ def gram_weights(texts: DataFrame, idf: DataFrame) -> DataFrame:
     """(key, gram, w): sublinear tf times idf, to unit length; unknown grams are left out. ``texts`` has (key, text)."""
     grams = texts.select("key", F.explode(char_ngrams("text")).alias("gram")).groupBy("key", "gram").agg(F.count(F.lit(1)).alias("tf"))
     raw = grams.join(idf, "gram").select("key", "gram", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    size = raw.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    return raw.join(size, "key").select("key", "gram", (F.col("w") / F.col("size")).alias("w"))
+    size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("key")))  # the grams of one short text
+    return raw.select("key", "gram", (F.col("w") / size).alias("w"))
 
 
 @dataclass(frozen=True)
@@ -50,13 +51,17 @@ class Classifier:
 
 
 def fit(pairs: DataFrame, least_df: int = 3, alpha: float = 0.2, most: int = MOST_CLASSES) -> Classifier:
-    """From (key, text, class) with a unique key; texts are normalised. Over ``most`` classes raise ValueError."""
-    rows = pairs.where(F.col("class").isNotNull()).select("key", normalize("text").alias("text"), "class")
-    grams = rows.select("key", F.explode(F.array_distinct(char_ngrams("text"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least_df)
-    n = rows.count()
-    idf = grams.select("gram", (F.log((1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
-    weights = gram_weights(rows, idf).join(rows.select("key", "class"), "key")
-    own = weights.groupBy("class", "gram").agg(F.sum("w").alias("own"))
+    """From (text, class) rows; texts are normalised and equal ones worked on once, with their count.
+
+    The model's two tables are kept in the shared folder. Over ``most`` classes raise ValueError.
+    """
+    rows = pairs.where(F.col("class").isNotNull()).groupBy(normalize("text").alias("key"), "class").agg(F.count(F.lit(1)).alias("n"))
+    texts = rows.groupBy("key").agg(F.sum("n").alias("n"))
+    grams = texts.select("n", F.explode(F.array_distinct(char_ngrams("key"))).alias("gram")).groupBy("gram").agg(F.sum("n").alias("df")).where(F.col("df") >= least_df)
+    n = texts.agg(F.sum("n")).first()[0] or 0
+    idf = durable(grams.select("gram", (F.log((1.0 + n) / (1 + F.col("df"))) + 1).alias("idf")))
+    weights = gram_weights(texts.select("key", F.col("key").alias("text")), idf).join(rows, "key")
+    own = durable(weights.groupBy("class", "gram").agg(F.sum(F.col("w") * F.col("n")).alias("own")))
     every = own.groupBy("gram").agg(F.sum("own").alias("all"))
     classes = rows.select("class").distinct().join(own.groupBy("class").agg(F.sum("own").alias("s")), "class", "left").limit(most + 1).collect()
     if len(classes) > most:

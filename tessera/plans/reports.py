@@ -159,7 +159,7 @@ _TP = "coalesce(item_title_raw, '') || ' ' || coalesce(item_infm_params_text, ''
 _Q = sql.toks("search_query")
 _PKM = sql.km("lat", "lon", sql.real("item_latitude"), sql.real("item_longitude"))
 _ITEM_KM = sql.km("lat", "lon", sql.real("i.item_latitude"), sql.real("i.item_longitude"))
-_VALID = "not isnan(item_latitude) and not isnan(item_longitude) and item_latitude between -90 and 90 and item_longitude between -180 and 180"
+_VALID = "not ((item_latitude)::varchar = 'nan') and not ((item_longitude)::varchar = 'nan') and item_latitude between -90 and 90 and item_longitude between -180 and 180"
 _FIELDS = {"title": "coalesce(item_title_raw, '')", "title+params": _TP, "title+params+description": f"{_TP} || ' ' || coalesce(item_description_raw, '')"}
 _KEYED = f"keyed as (select *, substr(sha256({sql.KEY}), 1, 16) query_id from train)"
 _DONOR = f"""{_KEYED}, placed as (select query_id, item_id, {sql.shuffled("query_id", 42)} o from keyed), freed as (select max(o) last from placed group by item_id order by last limit 300),

@@ -264,7 +264,7 @@ def _ratio(h: str, bins: int, name: str) -> str:
 _CURVES = f"{_ratio('gh', 17, 'gs')}, {_ratio('fh', 5, 'fs')}"
 _QW = f"qw as (select query_id, list(token) wanted from (select query_id, unnest({sql.bare('search_infm_params_text')}) token from benchmark_queries) where token in (select token from fvoc) group by query_id)"
 _PLACE = "place as (select query_id, lat qlat, lon qlon from benchmark_queries left join centre on location = search_location_id)"
-_FINE = "coalesce(len({v}) = 64 and len(list_filter({v}, lambda x: x is null or isnan(x))) = 0 and len(list_filter({v}, lambda x: x <> 0)) > 0, false)"
+_FINE = "coalesce(len({v}) = 64 and len(list_filter({v}, lambda x: x is null or ((x)::varchar = 'nan'))) = 0 and len(list_filter({v}, lambda x: x <> 0)) > 0, false)"
 _ONE = "(select {i}, any_value(case when {fine} then {v}::double[] end) v from {t} where {i} is not null and {fine} group by 1)"
 _VEC = "iv as " + _ONE.format(i="item_id", v="item_vector", t="item_vectors", fine=_FINE.format(v="item_vector")) + ", qv as " + _ONE.format(i="query_id", v="query_vector", t="query_vectors", fine=_FINE.format(v="query_vector"))
 _KM = sql.km("qlat", "qlon", _R("item_latitude"), _R("item_longitude"))

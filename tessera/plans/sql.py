@@ -39,7 +39,7 @@ def km(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
 
 
 def real(c: str) -> str:
-    return f"(case when not isnan({c}) then {c} end)"
+    return f"(case when not (({c})::varchar = 'nan') then {c} end)"
 
 
 def bin_of(v: str, edges) -> str:

@@ -182,7 +182,7 @@ select item_id, gram, round(w / s, 6) weight from raw join size using (item_id)"
 select word, count(*) items from w group by word having count(*) > 0.2 * (select count(*) from items)""",
     "sample_pairs": f"select pair_id, item_id from train order by {sql.shuffled('pair_id', 7)}, pair_id limit 1000",
     "weighted_sample": f"""with {sql.CORPUS} select item_id, round(-ln({sql.uniform("item_id", 11)}) / item_rating_reviews_count, 12) race from items
-where item_rating_reviews_count > 0 and not isnan(item_rating_reviews_count) order by race, item_id limit 200""",
+where item_rating_reviews_count > 0 and not ((item_rating_reviews_count)::varchar = 'nan') order by race, item_id limit 200""",
     "random_background": f"""with {sql.CORPUS}, numbered as (select item_id drawn, row_number() over (order by {sql.shuffled("item_id", 3)}, item_id) - 1 slot from items)
 select pair_id, drawn from train join numbered on slot = floor({sql.uniform("pair_id", 5)} * (select count(*) from items))""",
     "postings": f"with {INDEX} select item_id, field, term, tf from post",

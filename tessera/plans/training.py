@@ -67,7 +67,7 @@ def oracle_sql() -> dict[str, str]:
     distance = """2 * 6371.0::double * asin(sqrt(least(1.0::double, greatest(0.0::double,
         pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2)))))"""
     points = """points as (select item_id, (min(struct_pack(lat := item_latitude, lon := item_longitude))).lat lat, (min(struct_pack(lat := item_latitude, lon := item_longitude))).lon lon
-        from benchmark_items where item_id is not null and item_latitude is not null and item_longitude is not null and not isnan(item_latitude) and not isnan(item_longitude)
+        from benchmark_items where item_id is not null and item_latitude is not null and item_longitude is not null and not ((item_latitude)::varchar = 'nan') and not ((item_longitude)::varchar = 'nan')
         and item_latitude between -90 and 90 and item_longitude between -180 and 180 group by item_id)"""
     return {
         "p3_found": f"""with {points}, c as (select location_id, centre_latitude lat, centre_longitude lon, radius_km from search_locations
