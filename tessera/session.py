@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +27,20 @@ def local_session(cores: int = 8, partitions: int | None = None, memory: str = "
     builder = builder.config("spark.sql.shuffle.partitions", str(partitions or cores)).config("spark.ui.enabled", "false")
     spark = builder.config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return ship(spark)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Gives the package to the session's Python workers, once; they may not have it on their path."""
+    context = spark.sparkContext
+    if not getattr(context, "_tessera_shipped", False):
+        package = Path(__file__).resolve().parent
+        staging = tempfile.mkdtemp(prefix="tessera-")  # the driver's own; executors fetch the archive from the driver
+        atexit.register(shutil.rmtree, staging, ignore_errors=True)
+        clean = Path(staging, "clean", package.name)
+        shutil.copytree(package, clean, ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(f"{staging}/{package.name}-package", "zip", clean.parent, package.name))
+        context._tessera_shipped = True
     return spark
 
 
