@@ -8,6 +8,7 @@ there. Runs of at least ``least`` words are leaks.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -178,11 +179,12 @@ def leaked(docs: DataFrame, evals: DataFrame, doc: tuple[str, str], item: tuple[
     narrow = docs.where(F.col(doc[0]).isNotNull() & F.col(doc[1]).isNotNull()).select(F.col(doc[0]).alias("d"), F.col(doc[1]).alias("t"))
     kinds = (dict(narrow.dtypes)["d"], dict(evals.dtypes)[item[0]])
     whole = None
+    token = uuid.uuid4().hex  # a worker outlives this call; nothing else tells two evaluation sets apart there
     for number, part in enumerate(_parts(evals, *item)):
         shared = context.broadcast(part)
         ids = evals.select(item[0]).schema
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, number=number, token=f"{context.applicationId}/{shared.id if hasattr(shared, 'id') else id(shared)}") -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, number=number, token=token) -> Iterator[pa.RecordBatch]:
             machine = _automaton(shared.value, number, token, least)
             for batch in batches:
                 row, who, longest, words, first, spans = [], [], [], [], [], []

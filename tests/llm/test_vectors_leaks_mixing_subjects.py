@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.llm import leakage
 from tessera.llm.knn import Search, chi_square_quantile, most_similar
 from tessera.llm.leakage import SuffixAutomaton, leaked, plain_words, without_leaks, words_with_places
 from tessera.llm.mixing import Leaf, budgets, known_targets, leaf_sizes, mix, pieces, short_sources, sized_records, token_count
@@ -88,6 +89,17 @@ def test_leaks_found_and_cut(spark):
     assert leaked(d, e.limit(0), ("doc_id", "text"), ("eval_id", "passage")).count() == 0
 
 
+def test_leaks_of_two_evaluation_sets_one_after_the_other(spark, monkeypatch):
+    # The second set's broadcast may get the address of the first one's, which is free by then.
+    monkeypatch.setattr(leakage, "id", lambda _: 7, raising=False)
+    texts = {i: " ".join(f"{w}{i}" for w in "abcdefghijklmnop") for i in (1, 2)}
+    d = spark.createDataFrame([(i, t) for _ in range(8) for i, t in texts.items()], "doc_id long, text string").repartition(8)  # more tasks than workers, so that each is used again
+    for i in (1, 2, 1):
+        e = spark.createDataFrame([(10 * i, texts[i])], "eval_id long, passage string")
+        found = leaked(d, e, ("doc_id", "text"), ("eval_id", "passage")).collect()
+        assert [(r.doc_id, r.eval_id, r.longest) for r in found] == [(i, 10 * i, 16)] * 8
+
+
 def test_budgets_go_to_siblings_before_ancestors():
     leaves = [Leaf(("a", "x"), 0.25, 10, 1), Leaf(("a", "y"), 0.25, 100, 2), Leaf(("b", "z"), 0.5, 1000, 1)]
     got = budgets(leaves, 200)
