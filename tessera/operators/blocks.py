@@ -17,12 +17,14 @@ def block_join(
     open_block: Callable[[pa.Table], Any],
     probe_block: Callable[[Any, pa.RecordBatch], pa.RecordBatch | None],
     schema: str,
+    probe_rows: int | None = None,
 ) -> DataFrame:
     """Rows that ``probe_block`` gives for each batch of ``probe`` against its block's index.
 
     Both sides have a bigint column ``block`` and otherwise different column names. One
     shuffle puts a block's rows together, the build rows sorted first; only those are held
-    in memory, so the caller keeps a block's build side small, while probe rows stream.
+    in memory, so the caller keeps a block's build side small, while probe rows stream, at most
+    ``probe_rows`` at once where a row gives many.
     """
     ours, theirs = ([c for c in df.columns if c != "block"] for df in (build, probe))
     types = dict(build.dtypes) | dict(probe.dtypes)
@@ -49,8 +51,10 @@ def block_join(
                 elif held or index is not None:
                     if index is None:
                         index, held = open_block(pa.Table.from_batches(held)), []
-                    got = probe_block(index, part.select(theirs))
-                    if got is not None and got.num_rows:
-                        yield got
+                    step = probe_rows or part.num_rows
+                    for at in range(0, part.num_rows, step):
+                        got = probe_block(index, part.slice(at, step).select(theirs))
+                        if got is not None and got.num_rows:
+                            yield got
 
     return both.repartition("block").sortWithinPartitions("block", "side").mapInArrow(run, schema)

@@ -51,7 +51,7 @@ def best_by_block(queries: DataFrame, items: DataFrame, k: int, prepare: Callabl
         i, j, v = (np.concatenate(x) for x in (who, where, how))
         return pa.RecordBatch.from_arrays([rows.column("query").take(pa.array(i)), docs.take(pa.array(j)), pa.array(v)], names=["query", "doc", "score"])
 
-    found = block_join(dealt, asked, grow, probe, f"query {kinds[0]}, doc {kinds[1]}, score double")
+    found = block_join(dealt, asked, grow, probe, f"query {kinds[0]}, doc {kinds[1]}, score double", BATCH)
     ranked = found.withColumn("rnk", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "doc"))).where(F.col("rnk") <= k)
     return ranked.select("query", F.col("rnk").cast("bigint").alias("rnk"), "doc", "score")
 

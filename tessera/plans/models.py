@@ -11,7 +11,7 @@ from tessera.functions.text import normalize
 from tessera.operators import features, metrics, microcat, rerank
 from tessera.operators.packed import known_keys
 from tessera.plans import retrieval, sql
-from tessera.plans.texts import INDEX, asked, corpus_index
+from tessera.plans.texts import INDEX, corpus_index
 from tessera.sources.tables import corpus, read_pairs, read_queries, read_table
 from tessera.streaming import clicks
 
@@ -60,38 +60,22 @@ def params_discover(spark, folder):
     return spark.createDataFrame([(k,) for k in params.discover_parser(_params(spark, folder), "item_id", "item_infm_params_text")], "key string")
 
 
-def _labelled(spark, folder):
-    return read_pairs(spark, folder, ["pair_id", "search_query", "item_microcat_id"]).select(F.col("pair_id").alias("key"), F.col("search_query").alias("text"), F.col("item_microcat_id").alias("class"))
-
-
-def _ratios(spark, folder):
-    model = microcat.fit(_labelled(spark, folder))
-    texts = asked(spark, folder).withColumnRenamed("query", "key")
-    items = corpus(spark, folder, ["item_id", "item_microcat_id"]).select(F.col("item_id").alias("doc"), F.col("item_microcat_id").alias("class"))
-    return model.log_proba(texts), items
-
-
 def microcat_proba(spark, folder):
     """The three likeliest categories of each query text."""
-    proba, _ = _ratios(spark, folder)
+    proba, _ = retrieval._ratios(spark, folder)
     ranked = proba.withColumn("lp", F.round("lp", 9)).withColumn("rnk", F.row_number().over(Window.partitionBy("key").orderBy(F.col("lp").desc(), "class"))).where("rnk <= 3")
     return ranked.select(F.col("key").alias("query_id"), F.col("rnk").cast("bigint").alias("rnk"), F.col("class").alias("microcat"), F.abs(F.round("lp", 6)).alias("surprise"))
 
 
 def microcat_signal(spark, folder):
     """Log-ratio of the item's category for every candidate; unknown categories get the 5th percentile."""
-    proba, items = _ratios(spark, folder)
-    ratios = microcat.log_ratios(proba, items)
-    penalty = ratios.agg(F.percentile("ratio", F.lit(0.05)).alias("p")).first()["p"] or 0.0
-    from tessera.operators.signals import MicrocatSignal
-
-    got = MicrocatSignal(ratios.withColumnRenamed("key", "query"), items, penalty).apply(retrieval.candidates(spark, folder).select("query", "doc"))
+    got = retrieval._microcat(spark, folder).apply(retrieval.candidates(spark, folder).select("query", "doc"))
     return got.select(F.col("query").alias("query_id"), F.col("doc").alias("item_id"), F.round("microcat", 6).alias("microcat"))
 
 
 def microcat_accuracy(spark, folder):
     """Top-k accuracy on held-out query texts, a fifth of all by hash."""
-    rows = _labelled(spark, folder).withColumn("text", normalize("text")).where("text <> ''").withColumn("held", F.substring(shuffled(F.col("text"), 0), 1, 1).isin("0", "1", "2"))
+    rows = retrieval._labelled(spark, folder).withColumn("text", normalize("text")).where("text <> ''").withColumn("held", F.substring(shuffled(F.col("text"), 0), 1, 1).isin("0", "1", "2"))
     model = microcat.fit(rows.where("not held"))
     tests = rows.where("held")
     proba = model.log_proba(tests.select(F.col("text").alias("key"), "text").distinct())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.geo import DISTANCE_EDGES, FACET_EDGES, bin_of, haversine, number
 from tessera.functions.text import bare_tokens, coverage, normalize, tokens, word_count
-from tessera.operators import fusion, metrics, signals, submission
+from tessera.operators import fusion, metrics, microcat, signals, submission
 from tessera.operators.exact import closest_vectors, nearest_places
 from tessera.plans import sql
 from tessera.plans.texts import INDEX, asked, corpus_index
@@ -15,6 +15,7 @@ from tessera.sources.tables import corpus, qrels, read_pairs, read_queries, read
 
 SCORES = ["lexical", "geo", "facet", "microcat", "dense"]
 PLACES = ["item_id", "item_latitude", "item_longitude"]
+DENSE_DEPTH = 1000  # nearest vectors of a query that join its lexical hits
 
 
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,6 +80,24 @@ def _dense(spark, folder):
     return signals.DenseSignal(one("query_vectors", "query_id", "query_vector", "query", "qv"), one("item_vectors", "item_id", "item_vector", "doc", "iv"))
 
 
+def _labelled(spark, folder):
+    return read_pairs(spark, folder, ["pair_id", "search_query", "item_microcat_id"]).select(F.col("pair_id").alias("key"), F.col("search_query").alias("text"), F.col("item_microcat_id").alias("class"))
+
+
+def _ratios(spark, folder):
+    model = microcat.fit(_labelled(spark, folder))
+    texts = asked(spark, folder).withColumnRenamed("query", "key")
+    items = corpus(spark, folder, ["item_id", "item_microcat_id"]).select(F.col("item_id").alias("doc"), F.col("item_microcat_id").alias("class"))
+    return model.log_proba(texts), items
+
+
+def _microcat(spark, folder):
+    proba, items = _ratios(spark, folder)
+    ratios = microcat.log_ratios(proba, items)
+    penalty = ratios.agg(F.percentile("ratio", F.lit(0.05)).alias("p")).first()["p"] or 0.0
+    return signals.MicrocatSignal(ratios.withColumnRenamed("key", "query"), items, penalty)
+
+
 def _named(df, *columns):
     return df.select(F.col("query").alias("query_id"), F.col("doc").alias("item_id"), *columns)
 
@@ -122,14 +141,13 @@ def fuse_rrf(spark, folder):
 def _collected(spark, folder, depth):
     lexical = corpus_index(spark, folder).scores(asked(spark, folder)).select("query", "doc", F.round("score", 9).alias("lexical"))
     d = _dense(spark, folder)
-    extra = closest_vectors(d.queries, d.items, 20)
-    weights = {"geo": 0.1, "facet": 0.1, "dense": 0.5}
-    return fusion.collect(lexical, [_geo(spark, folder), _facet(spark, folder), d], weights, depth, extra)
+    extra = closest_vectors(d.queries, d.items, DENSE_DEPTH)
+    return fusion.collect(lexical, [_geo(spark, folder), _facet(spark, folder), _microcat(spark, folder), d], fusion.WEIGHTS, depth, extra)
 
 
 def collect_components(spark, folder):
-    """The whole chain: every lexical hit and the nearest vectors, three signals, one sum, the best fifty."""
-    return _named(_collected(spark, folder, 50), "rnk", *[F.round(c, 5).alias(c) for c in ("lexical", "geo", "facet", "dense", "total")])
+    """The whole chain: every lexical hit and the nearest vectors, four signals, one sum, the best fifty."""
+    return _named(_collected(spark, folder, 50), "rnk", *[F.round(c, 5).alias(c) for c in (*SCORES, "total")])
 
 
 def pad_nearest(spark, folder):
