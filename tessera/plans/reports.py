@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.geo import number
+from tessera.functions.keys import QUERY_COLUMNS
 from tessera.operators import benchmark, reports, signals
 from tessera.plans import sql
 from tessera.plans.retrieval import CENTRE, relevant
 from tessera.sources.tables import corpus, read_pairs, read_queries
 
-N_QUERIES, CORPUS, SEEN = 40, 400, 0.3
+SEEN = 0.3
+DONORS = 40_000 / 2_452  # budget of donor queries for each query of the benchmark
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -95,21 +97,41 @@ def raking_weights(spark, folder):
     return shares.select("empty_filter", "words", F.round(F.col("w") / F.sum("w").over(Window.partitionBy(F.lit(1))), 6).alias("share"))  # at most 14 rows
 
 
+def _corpus_size(spark, folder):
+    """The real corpus, as far as the pairs have items."""
+    return min(corpus(spark, folder, ["item_id"]).count(), read_pairs(spark, folder, ["item_id"]).select("item_id").distinct().count())
+
+
+def _n_queries(spark, folder):
+    """The real queries, as far as the log has such ones."""
+    real = read_queries(spark, folder)
+    pool = benchmark.descriptors(benchmark.with_query_id(read_pairs(spark, folder)).select("query_id", *QUERY_COLUMNS).distinct())
+    fit = benchmark.raking_weights(pool, benchmark.target_marginals(benchmark.descriptors(real))).where("weight > 0")
+    return min(real.select("query_id").distinct().count(), fit.count())
+
+
+def _donor(spark, folder, keyed):
+    """As many unseen items as the corpus is to have."""
+    size = _corpus_size(spark, folder)
+    return benchmark.donor_cut(keyed, size - round(SEEN * size), 42)
+
+
 def donor_cut(spark, folder):
-    return benchmark.donor_cut(benchmark.with_query_id(_pairs(spark, folder)), 300, 42)
+    return _donor(spark, folder, benchmark.with_query_id(_pairs(spark, folder)))
 
 
 def donor_match(spark, folder):
     """Donor queries with positives in the corpus, matched to a share of seen positives."""
     keyed = benchmark.with_query_id(_pairs(spark, folder))
-    donor = benchmark.donor_cut(keyed, 300, 42)
+    donor = _donor(spark, folder, keyed)
     fit = keyed.join(donor, "query_id", "left_anti").select("item_id").distinct()
     held = keyed.join(donor, "query_id", "left_semi").join(corpus(spark, folder, ["item_id"]), "item_id", "left_semi")
-    return benchmark.match_donors(held, fit, 0.3, 2000, 7)
+    budget = round(DONORS * read_queries(spark, folder, ["query_id"]).distinct().count())
+    return benchmark.match_donors(held, fit, SEEN, budget, 7)
 
 
 def _local(spark, folder):
-    return benchmark.build(_pairs(spark, folder), read_queries(spark, folder), N_QUERIES, CORPUS, SEEN)
+    return benchmark.build(_pairs(spark, folder), read_queries(spark, folder), _n_queries(spark, folder), _corpus_size(spark, folder), SEEN)
 
 
 def benchmark_build(spark, folder):

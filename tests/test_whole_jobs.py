@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from tessera.operators import fusion
-from tessera.plans import retrieval, sql
+from tessera.plans import reports, retrieval, sql
 from tessera.plans.texts import INDEX
 
 FOLDER = "/root/testdata/sf0.001"
@@ -43,3 +43,25 @@ def test_fused_chain_takes_all_near_vectors_and_the_category(spark, duck):
         assert got[k]["total"] == pytest.approx(t, abs=2e-5)
         assert got[k]["microcat"] == pytest.approx(category[k], abs=2e-5)
     assert retrieval.DENSE_DEPTH == 1000
+
+
+def test_local_benchmark_and_donor_have_the_size_of_the_tables(spark, duck):
+    queries, items = duck.sql("select (select count(distinct query_id) from benchmark_queries), (select count(distinct item_id) from benchmark_items)").fetchall()[0]
+    parts = {r.part: r.n for r in reports.benchmark_build(spark, FOLDER).collect()}
+    # Only searches that fit the real ones in place, filter and words can be drawn.
+    described = reports._DESCRIBED.replace("select ", "select query_id k, ", 1).replace("benchmark_queries", "keyed")
+    eligible = duck.sql(f"""with real as ({reports._DESCRIBED}), {reports._KEYED}, log as ({described})
+        select count(distinct k) from log where location in (select location from real) and empty_filter in (select empty_filter from real) and words in (select words from real)""").fetchall()[0][0]
+    assert (parts["queries"], parts["corpus"]) == (min(queries, eligible), items)
+    quota = items - round(0.3 * items)
+    pairs = duck.sql(f"with {reports._KEYED} select query_id, item_id from keyed").fetchall()
+    donor = {r.query_id for r in reports.donor_cut(spark, FOLDER).collect()}
+    kept = {i for q, i in pairs if q not in donor}
+    freed = {i for _, i in pairs} - kept
+    assert kept
+    assert len(freed) >= quota
+    chosen = {r.query_id: (r.seen, r.unseen) for r in reports.donor_match(spark, FOLDER).collect()}
+    corpus = {i for (i,) in duck.sql("select item_id from benchmark_items").fetchall()}
+    with_seen = {q for q, i in pairs if q in donor and i in kept & corpus}
+    # All of them, or as many as a third of the budget: 40000 a 2452 queries.
+    assert len({q for q, (seen, _) in chosen.items() if seen}) == min(len(with_seen), round(queries * 40_000 / 2_452) // 3)
