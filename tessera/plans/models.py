@@ -15,8 +15,6 @@ from tessera.plans.texts import INDEX, corpus_index
 from tessera.sources.tables import corpus, read_pairs, read_queries, read_table
 from tessera.streaming import clicks
 
-TREES, DEPTH = 10, 4
-
 
 def _keys(spark, folder):
     return known_keys(read_table(spark, f"{folder}/param_keys.parquet"))
@@ -101,7 +99,7 @@ def feature_table(spark, folder):
 def rerank_gbt(spark, folder):
     """Out-of-fold re-ranking: recall at 5 and 10 beside the fused order and the ceiling."""
     rows = _features(spark, folder).cache()
-    scores = rerank.cross_validate(rows, 3, trees=TREES, depth=DEPTH, rate=0.2).cache()
+    scores = rerank.cross_validate(rows).cache()
     truth = retrieval.relevant(spark, folder)
     runs = {"rerank": rerank.ranked(scores, 10), "fused": retrieval.candidate_run(spark, folder).where("rnk <= 10"), "ceiling": rerank.ranked(scores.withColumn("score", F.col("label").cast("double")), 10)}
     out = None
@@ -115,7 +113,7 @@ def rerank_importance(spark, folder):
     """Importance of the features with and without those that tell of the item alone."""
     rows = _features(spark, folder).cache()
     plain = [f for f in features.FEATURES if f not in features.PRIORS]
-    out = [(name, f, v) for name, used in (("all", features.FEATURES), ("without_priors", plain)) for f, v in rerank.importance(rerank.train(rows, used, TREES, DEPTH, 0.2), used)]
+    out = [(name, f, v) for name, used in (("all", features.FEATURES), ("without_priors", plain)) for f, v in rerank.importance(rerank.train(rows, used), used)]
     return spark.createDataFrame(out, "variant string, feature string, importance double")
 
 

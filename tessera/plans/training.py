@@ -51,12 +51,14 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    """For each item whose id's hash is divisible by 50, the number of other items within 2 km."""
+    """For each item whose id's hash is divisible by 50, the number of other items within 2 km; 0 if it has no coordinates."""
+    chosen = F.pmod(F.xxhash64("item_id"), F.lit(50)) == 0
     items = _listed_points(spark, folder)
-    asked = items.where(F.pmod(F.xxhash64("item_id"), F.lit(50)) == 0).select(F.col("item_id").alias("centre_id"), "item_latitude", "item_longitude")
+    asked = items.where(chosen).select(F.col("item_id").alias("centre_id"), "item_latitude", "item_longitude")
     near = points_near(items, asked, ("item_id", "item_latitude", "item_longitude"), ("centre_id", "item_latitude", "item_longitude"), 2.0)
-    counted = near.where("item_id <> centre_id").groupBy("centre_id").agg(F.count(F.lit(1)).alias("neighbours"), F.round(F.min("km"), 6).alias("nearest_km"))
-    return counted.select(F.col("centre_id").alias("item_id"), "neighbours", "nearest_km")
+    counted = near.where("item_id <> centre_id").groupBy(F.col("centre_id").alias("item_id")).agg(F.count(F.lit(1)).alias("neighbours"), F.round(F.min("km"), 6).alias("nearest_km"))
+    every = table(spark, folder, "benchmark_items").where("item_id is not null").where(chosen).select("item_id").distinct()
+    return every.join(counted, "item_id", "left").select("item_id", F.coalesce("neighbours", F.lit(0)).alias("neighbours"), "nearest_km")
 
 
 def queries() -> dict:

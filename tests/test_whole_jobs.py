@@ -3,8 +3,8 @@
 import duckdb
 import pytest
 
-from tessera.operators import fusion
-from tessera.plans import reports, retrieval, sql
+from tessera.operators import fusion, rerank
+from tessera.plans import models, reports, retrieval, sql
 from tessera.plans.texts import INDEX
 
 FOLDER = "/root/testdata/sf0.001"
@@ -65,3 +65,20 @@ def test_local_benchmark_and_donor_have_the_size_of_the_tables(spark, duck):
     with_seen = {q for q, i in pairs if q in donor and i in kept & corpus}
     # All of them, or as many as a third of the budget: 40000 a 2452 queries.
     assert len({q for q, (seen, _) in chosen.items() if seen}) == min(len(with_seen), round(queries * 40_000 / 2_452) // 3)
+
+
+def test_registered_reranker_has_the_full_model(spark, monkeypatch):
+    used = []
+    whole = rerank.GBTClassifier
+
+    def small(maxIter, maxDepth, stepSize, **how):  # noqa: N803 - as Spark names them
+        used.append((maxIter, maxDepth, stepSize))
+        return whole(maxIter=1, maxDepth=1, stepSize=stepSize, **how)
+
+    monkeypatch.setattr(rerank, "GBTClassifier", small)
+    rows = spark.createDataFrame([(f"q{i % 60}", f"d{i}", float(i % 7), i % 7 // 6) for i in range(600)], "query string, doc string, x double, label long")
+    monkeypatch.setattr(models, "_features", lambda *_: rows.selectExpr("*", *[f"x as {c}" for c in models.features.FEATURES]))
+    models.rerank_gbt(spark, FOLDER)
+    assert used == [(400, 6, 0.05)] * 5
+    models.rerank_importance(spark, FOLDER)
+    assert used == [(400, 6, 0.05)] * 7
