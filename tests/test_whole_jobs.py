@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from tessera.operators import fusion, rerank
-from tessera.plans import models, reports, retrieval, sql
+from tessera.plans import models, reports, retrieval, sql, training
 from tessera.plans.texts import INDEX
 
 FOLDER = "/root/testdata/sf0.001"
@@ -67,6 +67,16 @@ def test_local_benchmark_and_donor_have_the_size_of_the_tables(spark, duck):
     assert len({q for q, (seen, _) in chosen.items() if seen}) == min(len(with_seen), round(queries * 40_000 / 2_452) // 3)
 
 
+def test_neighbours_of_every_asked_item(spark, tmp_path):
+    # One place for two items, one far away, one without coordinates, 200 times over.
+    rows = [(f"{kind}{n}", lat, 30.0 if lat is not None else None) for n in range(200) for kind, lat in (("a", n / 5), ("b", n / 5), ("far", -80 + n / 5), ("none", None))]
+    spark.createDataFrame(rows, "item_id string, item_latitude double, item_longitude double").write.parquet(f"{tmp_path}/benchmark_items.parquet")
+    asked = {r.item_id for r in spark.createDataFrame([(i,) for i, *_ in rows], "item_id string").where("pmod(xxhash64(item_id), 50) = 0").collect()}
+    got = {r.item_id: (r.neighbours, r.nearest_km) for r in training.p3_neighbours(spark, str(tmp_path)).collect()}
+    assert {i.rstrip("0123456789") for i in asked} == {"a", "b", "far", "none"}
+    assert got == {i: (1, 0.0) if i[0] in "ab" else (0, None) for i in asked}
+
+
 def test_registered_reranker_has_the_full_model(spark, monkeypatch):
     used = []
     whole = rerank.GBTClassifier
