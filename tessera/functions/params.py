@@ -19,9 +19,14 @@ def _plain(text: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(as_column(text), F.lit("")), BLANK, " "))
 
 
-def _pattern(keys: Sequence[str]) -> str:
+def _any_key(keys: Sequence[str]) -> str:
+    """One of the keys, the longest first."""
     names = sorted({" ".join(k.split()) for k in keys if k.strip()}, key=lambda k: (-len(k.split(" ")), -len(k), k))
-    any_key = "|".join(re.sub(r"([^\w ])", r"\\\1", k) for k in names) or "(?!)"
+    return "|".join(re.sub(r"([^\w ])", r"\\\1", k) for k in names) or "(?!)"
+
+
+def _pattern(keys: Sequence[str]) -> str:
+    any_key = _any_key(keys)
     return rf"(?<![^ ])({any_key})(?![^ ])(?: (.*?))??(?= (?:{any_key})(?![^ ])|$)"
 
 
@@ -51,7 +56,7 @@ def as_map(pairs: Column) -> Column:
 def key_coverage(text: str | Column, keys: Sequence[str]) -> Column:
     """Share of the words from the first key on; 1 for texts without words."""
     plain = _plain(text)
-    head = F.regexp_extract(plain, rf"^(.*?)(?:(?<![^ ]){_pattern(keys).split(')', 2)[1].split('(', 1)[1]})(?![^ ])", 1)
+    head = F.regexp_extract(plain, rf"^(.*?)(?<![^ ])(?:{_any_key(keys)})(?![^ ])", 1)
     n = lambda c: F.size(F.filter(F.split(c, " "), lambda t: t != ""))
     has_key = F.size(F.regexp_extract_all(plain, F.lit(_pattern(keys)), F.lit(1))) > 0
     return F.when(n(plain) == 0, 1.0).when(has_key, 1 - n(head) / n(plain)).otherwise(0.0)

@@ -49,14 +49,15 @@ def value_tokenizer(keys: Sequence[str]) -> Callable[[str | None], list[Pair]]:
     )
     angle = re.compile("[«»]")
 
-    def closing(text: str, at: int) -> int:
-        """Place of the » that closes the « at ``at``, or -1."""
-        depth = 0
-        for m in angle.finditer(text, at):
-            depth += 1 if m.group() == "«" else -1
-            if not depth:
-                return m.start()
-        return -1
+    def closings(text: str) -> dict[int, int]:
+        """The place of the closing » by that of each « that has one, in one pass with a stack."""
+        pairs, waiting = {}, []
+        for m in angle.finditer(text):
+            if m.group() == "«":
+                waiting.append(m.start())
+            elif waiting:
+                pairs[waiting.pop()] = m.start()
+        return pairs
 
     def tokenize(text: str | None) -> list[Pair]:
         out: list[Pair] = []
@@ -65,7 +66,7 @@ def value_tokenizer(keys: Sequence[str]) -> Callable[[str | None], list[Pair]]:
         current: str | None = None
         waiting = False
         piece: list[str] = []
-        last_open = text.rfind("»")
+        closed = closings(text) if "«" in text else {}
 
         def end_piece() -> None:
             nonlocal waiting
@@ -80,8 +81,8 @@ def value_tokenizer(keys: Sequence[str]) -> Callable[[str | None], list[Pair]]:
         while m := lexeme.search(text, seek):
             kind = m.lastgroup
             if kind == "angle":
-                close = closing(text, m.start()) if m.start() < last_open else -1
-                if close < 0:
+                close = closed.get(m.start())
+                if close is None:
                     seek = m.end()
                     continue
                 piece.append(text[at : m.start()])

@@ -53,3 +53,24 @@ def enrich(
     for c in [*keys, salt]:
         match = match & salted[c].eqNullSafe(other[f"__g_{c}"])
     return salted.join(other, match).select(*rows.columns, *total)
+
+
+def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], spread: Sequence[str], salts: int = SALTS) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has each key once, without a hot task.
+
+    A key's row of ``table`` is repeated only for the salts in which the key occurs among
+    ``rows``. Null keys meet null keys. Other columns may not share a name.
+    """
+    salt = fresh(rows, "salt")
+    salted = rows.withColumn(salt, salt_of(spread, salts))
+    found = salted.select(*keys, salt).distinct()
+    other = found.select(*[F.col(c).alias(f"__f_{c}") for c in keys], F.col(salt).alias(f"__s_{salt}"))
+    match = F.lit(True)
+    for c in keys:
+        match = match & other[f"__f_{c}"].eqNullSafe(table[c])
+    extra = [c for c in table.columns if c not in keys]
+    lifted = other.join(table, match).select(*[F.col(f"__f_{c}") for c in keys], f"__s_{salt}", *extra)
+    match = salted[salt] == lifted[f"__s_{salt}"]
+    for c in keys:
+        match = match & salted[c].eqNullSafe(lifted[f"__f_{c}"])
+    return salted.join(lifted, match).select(*rows.columns, *extra)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.blocks import block_join
+from tessera.session import sampled
 
 EARTH_KM = 6371.0
 SAMPLE = 16_384
@@ -180,7 +181,8 @@ def circles_around(
     longitude and radius in km. Points or centres that are null, NaN or off the globe take
     no part, nor do null, NaN or negative radii, nor null ids. Every row counts: repeated
     ids give repeated pairs, so give one row per id where that isn't wanted. The two id
-    columns may not share a name. Only the ``sample`` points of least hash go to the driver.
+    columns may not share a name. Only about ``sample`` points and circles, drawn row by row,
+    go to the driver; they shape the tree and don't touch the result.
     """
     pid, plat, plon = point
     cid, clat, clon, radius = circle
@@ -192,10 +194,9 @@ def circles_around(
     rounds = circles.where(F.col(cid).isNotNull() & _is_point(clat, clon) & F.col(radius).between(0.0, 1e9)).select(
         F.col(cid).alias("c"), F.col(clat).cast("double").alias("clat"), F.col(clon).cast("double").alias("clon"), F.col(radius).cast("double").alias("km")
     )
-    where = lambda df, key, lat, lon: df.orderBy(F.xxhash64(F.lit(5), key), lat, lon).limit(sample)
     n_points, n_circles = spots.count(), rounds.count()
-    shape = where(spots, "p", "plat", "plon").select("plat", "plon").toPandas()
-    some = where(rounds, "c", "clat", "clon").select("clat", "clon", "km").toPandas()
+    shape = sampled(spots.select("plat", "plon"), n_points, sample).toPandas()
+    some = sampled(rounds.select("clat", "clon", "km"), n_circles, sample).toPandas()
     tree = Quadtree(shape["plat"].to_numpy(), shape["plon"].to_numpy(), max(8, points_a_leaf * max(1, len(shape)) // max(1, n_points)))
     spread = lambda n, most: np.clip(np.ceil(n / most), 1, 2**SALT_BITS - 1).astype(np.int64)
     point_salts = spread(tree.count * (n_points / max(1, len(shape))), points_a_leaf)

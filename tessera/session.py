@@ -47,11 +47,26 @@ def ship(spark: SparkSession) -> SparkSession:
 def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the checkpoint folder that all executors share.
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset (tests) is a
-    temporary one made. The result survives the loss of executors.
+    The folder comes from ``spark.checkpoint.dir``. Only a local session (tests) without it
+    gets a temporary one, removed at exit; a cluster without it is refused, as no folder of
+    one machine would do. The result survives the loss of executors.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tessera-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="tessera-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+def sampled(df: DataFrame, rows: int, most: int, seed: int = 5) -> DataFrame:
+    """About ``most`` of the ``rows`` rows of ``df`` (all if there are no more), each row by itself.
+
+    Nothing is sorted or gathered, so no task sees more than its own part of the sample.
+    """
+    return df if rows <= most else df.sample(False, most / rows, seed)
