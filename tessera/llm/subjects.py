@@ -21,14 +21,15 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VANISHING = dict.fromkeys(map(ord, "\u00ad\u200b"))
 TAG = re.compile(r"<[^<>]{0,20}>")
 WORD = re.compile("[0-9a-zа-я]+")
 STOP = re.compile(r"[.!?…]+(?=\s|$)|\n+")
-LABELLED = 20_000
+LABELLED = 20_000  # labelled documents that a term list is learnt from, about
+LISTED = 10_000  # labelled texts of another kind beside them, about
 GRID = (0.3, 0.4, 0.5, 0.6, 0.7)
 
 Sentences = list[list[str]]
@@ -68,25 +69,27 @@ class Terms:
 
     def evidence(self, parts: Sentences) -> np.ndarray:
         """Evidence by sentence and subject; a sentence without terms has none."""
-        out = np.zeros((len(parts), len(self.subjects)))
-        if not self.terms or not parts:
-            return out
-        automaton = self.automaton()
-        found = [[n for _, n in automaton.iter_long(" " + "  ".join(words) + " ")] for words in parts]
-        whole = np.zeros(len(self.subjects))
-        for hits in found:
-            for n in hits:
-                whole += self.share[n] * self.rarity[n]
-        if not whole.sum():
-            return out
-        light = 0.05 + whole / whole.sum()
-        for i, hits in enumerate(found):
-            if hits:
-                read = self.share[hits] * light
-                read /= read.sum(axis=1, keepdims=True)
-                weight = self.rarity[hits]
-                out[i] = (read * weight[:, None]).sum(axis=0) / weight.sum()
-        return out
+        return self.evidence_of([parts])[0]
+
+    def evidence_of(self, texts: Sequence[Sentences]) -> list[np.ndarray]:
+        """The evidence of several texts, computed over all their matched terms at once."""
+        sizes = [len(parts) for parts in texts]
+        out = np.zeros((sum(sizes), len(self.subjects)))
+        if self.terms and len(out):
+            automaton = self.automaton()
+            hits = [[n for _, n in automaton.iter_long(" " + "  ".join(words) + " ")] for parts in texts for words in parts]
+            sentence = np.repeat(np.arange(len(out)), [len(h) for h in hits])
+            term = np.fromiter((n for h in hits for n in h), np.int64, len(sentence))
+            doc = np.repeat(np.arange(len(texts)), sizes)[sentence]
+            weight, share = self.rarity[term], self.share[term]
+            add = lambda to, values, n: np.stack([np.bincount(to, values[:, s], n) for s in range(values.shape[1])], axis=1)
+            whole = add(doc, share * weight[:, None], len(texts))
+            light = 0.05 + whole / np.maximum(whole.sum(axis=1, keepdims=True), 1e-300)
+            read = share * light[doc]
+            read /= read.sum(axis=1, keepdims=True)
+            mass = np.bincount(sentence, weight, len(out))
+            out = add(sentence, read * weight[:, None], len(out)) / np.where(mass > 0, mass, 1.0)[:, None]
+        return np.split(out, np.cumsum(sizes)[:-1]) if texts else []
 
     def subjects_of(self, parts: Sentences, evidence: np.ndarray, thresholds: np.ndarray) -> list[tuple[int, int, float]]:
         """(subject number, sentences, mean evidence) of the text's subjects."""
@@ -142,8 +145,7 @@ def learn_terms(labelled: Iterable[tuple[str | None, Sequence]], least_df: int =
     right = np.zeros((len(GRID), len(subjects)))
     said = np.zeros_like(right)
     true = np.zeros(len(subjects))
-    for parts, own in texts:
-        evidence = found.evidence(parts)
+    for (parts, own), evidence in zip(texts, found.evidence_of([parts for parts, _ in texts]), strict=True):
         for s in own:
             true[number[s]] += 1
         for g, threshold in enumerate(GRID):
@@ -155,12 +157,17 @@ def learn_terms(labelled: Iterable[tuple[str | None, Sequence]], least_df: int =
     return found
 
 
+def hash_share(key: str, rows: int, most: int) -> Column:
+    """True for about ``most`` of ``rows`` distinct keys, the same ones every time; for all if there are no more."""
+    return F.lit(True) if rows <= most else F.pmod(F.xxhash64(F.lit(13), key), F.lit(1 << 40)) < int(most / rows * (1 << 40))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, doc: tuple[str, str], subject: str, most: int = LABELLED) -> list[tuple[str, list]]:
-    """(text, its subjects) of the at most ``most`` labelled documents whose ids hash lowest."""
+    """(text, its subjects) of about ``most`` labelled documents, chosen by the hash of their ids; of all if there are no more."""
     own = labels.where(F.col(doc[0]).isNotNull() & F.col(subject).isNotNull()).groupBy(F.col(doc[0]).alias("d")).agg(F.sort_array(F.collect_set(subject)).alias("own"))
-    chosen = own.orderBy(F.xxhash64(F.lit(13), "d"), "d").limit(most)
-    got = docs.select(F.col(doc[0]).alias("d"), F.col(doc[1]).alias("t")).join(F.broadcast(chosen), "d").orderBy("d", "t").select("t", "own")
-    return [(r[0], r[1]) for r in got.collect()]
+    chosen = own.where(hash_share("d", own.count(), most))
+    got = docs.select(F.col(doc[0]).alias("d"), F.col(doc[1]).alias("t")).join(F.broadcast(chosen), "d").groupBy("d").agg(F.min("t").alias("t"), F.first("own").alias("own"))  # about ``most`` ids
+    return [(r["t"], r["own"]) for r in sorted(got.collect(), key=lambda r: r["d"])]
 
 
 def subject_areas(docs: DataFrame, terms: Terms, doc: tuple[str, str], kind: str = "bigint") -> DataFrame:
@@ -178,9 +185,9 @@ def subject_areas(docs: DataFrame, terms: Terms, doc: tuple[str, str], kind: str
         model = shared.value
         for batch in batches:
             row, subject, n, score = [], [], [], []
-            for i, text in enumerate(batch.column("t").to_pylist()):
-                parts = sentences(text)
-                for s, count, mean in model.subjects_of(parts, model.evidence(parts), model.thresholds):
+            texts = [sentences(t) for t in batch.column("t").to_pylist()]
+            for i, (parts, evidence) in enumerate(zip(texts, model.evidence_of(texts), strict=True)):
+                for s, count, mean in model.subjects_of(parts, evidence, model.thresholds):
                     row.append(i)
                     subject.append(model.subjects[s])
                     n.append(count)
