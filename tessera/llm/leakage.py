@@ -65,6 +65,12 @@ class SuffixAutomaton:
                 while state > 0 and self.length[state] >= least and who not in self.holders[state]:
                     self.holders[state].add(who)
                     state = self.link[state]
+        # A shorter run has the holders of the longer ones it ends; where it has no more, a search passes it by.
+        self.up = [0] * len(self.next)
+        for state in sorted(range(1, len(self.next)), key=self.length.__getitem__):
+            above = self.link[state]
+            if above > 0 and self.length[above] >= least:
+                self.up[state] = above if len(self.holders[above]) > len(self.holders[state]) else self.up[above]
 
     def _state(self, length: int, link: int, following: dict[str, int]) -> int:
         self.next.append(following)
@@ -95,9 +101,9 @@ class SuffixAutomaton:
             self.link[new] = there if self.length[there] == self.length[before] + 1 else self._split(before, word, there)
         return new
 
-    def spans(self, words: list[str]) -> dict[object, list[tuple[int, int]]]:
-        """For each leaked sequence its runs in ``words`` as (first, past the last), by their ends."""
-        found: dict[object, list[tuple[int, int]]] = {}
+    def spans(self, words: list[str]) -> dict[object, tuple[int, list[tuple[int, int]]]]:
+        """For each leaked sequence its longest run in ``words`` and the union of its runs as (first, past the last)."""
+        found: dict[object, tuple[int, list[tuple[int, int]]]] = {}
         following, link, length, least = self.next, self.link, self.length, self.least
         known = self.vocabulary
         state = matched = 0
@@ -124,10 +130,16 @@ class SuffixAutomaton:
             if matched >= least:
                 up, seen = state, set()
                 while length[up] >= least:
+                    size = min(matched, length[up])
                     for who in self.holders[up] - seen:
                         seen.add(who)
-                        found.setdefault(who, []).append((at - min(matched, length[up]), at))
-                    up = link[up]
+                        longest, runs = found.get(who, (0, []))
+                        first = at - size
+                        while runs and runs[-1][1] >= first:  # ends only grow, so the union does at its end
+                            first = min(first, runs.pop()[0])
+                        runs.append((first, at))
+                        found[who] = (max(longest, size), runs)
+                    up = self.up[up]
         return found
 
 
@@ -189,11 +201,10 @@ def leaked(docs: DataFrame, evals: DataFrame, doc: tuple[str, str], item: tuple[
             for batch in batches:
                 row, who, longest, words, first, spans = [], [], [], [], [], []
                 for i, text in enumerate(batch.column("t").to_pylist()):
-                    for e, found in machine.spans(plain_words(text)).items():
-                        union = covered(found)
+                    for e, (most, union) in machine.spans(plain_words(text)).items():
                         row.append(i)
                         who.append(e)
-                        longest.append(max(hi - lo for lo, hi in found))
+                        longest.append(most)
                         words.append(sum(hi - lo for lo, hi in union))
                         first.append(union[0][0])
                         spans.append([{"lo": lo, "hi": hi} for lo, hi in union])
