@@ -119,7 +119,8 @@ def mix_plan(sizes: Sequence[tuple[tuple[str, ...], int]], targets: dict[str, tu
     """A row per leaf: path, size, target tokens, room and budget.
 
     ``sizes``: (path, tokens), the last part of a path being the source. ``targets``: share
-    and most repeats by source. A source's share is divided among its leaves by their size.
+    and most repeats by source. A source's share is divided among its leaves by their size;
+    the whole budget is the total size times the sum of the shares.
     """
     by_source: dict[str, int] = {}
     for path, n in sizes:
@@ -129,15 +130,21 @@ def mix_plan(sizes: Sequence[tuple[tuple[str, ...], int]], targets: dict[str, tu
     for path, n in sizes:
         target, repeats = targets[path[-1]]
         leaves.append(Leaf(path, target * n / by_source[path[-1]] if by_source[path[-1]] else 0.0, n, repeats))
-    given = budgets(leaves, total)
+    given = budgets(leaves, total * sum(share for share, _ in targets.values()))
     return [{"path": x.path, "size": x.size, "target": x.weight * total, "room": x.room, "budget": given[x.path]} for x in leaves]
 
 
 def short_sources(plan: Sequence[dict], targets: dict[str, tuple[float, float]]) -> list[str]:
-    """Sources whose target exceeds what their most repeats can give; one without any record is short too."""
+    """Sources whose budgets stay under their target: what they may be repeated can't fill it.
+
+    Only a source whose leaves are all full gets less than its target, as what a child
+    can't take is only ever added to others. One without any record is short too.
+    """
     total = sum(p["size"] for p in plan)
-    own = {s: sum(p["size"] for p in plan if p["path"][-1] == s) for s in targets}
-    return sorted(s for s, (share, repeats) in targets.items() if share * total > repeats * own[s])
+    got = dict.fromkeys(targets, 0.0)
+    for p in plan:
+        got[p["path"][-1]] += p["budget"]
+    return sorted(s for s, (share, _) in targets.items() if got[s] < share * total * (1 - 1e-9))
 
 
 def select_records(sized: DataFrame, plan: Sequence[dict], record: str, seed: int = 0) -> DataFrame:

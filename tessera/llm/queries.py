@@ -10,11 +10,12 @@ from tessera.llm.knn import Search, most_similar
 from tessera.llm.leakage import leaked, without_leaks
 from tessera.llm.leximin import leximin_best, score_places
 from tessera.llm.mixing import clean_name, known_targets, leaf_sizes, mix, mix_plan, short_sources, sized_records
-from tessera.llm.split import repeated_groups, search_key, stratified_split
-from tessera.llm.subjects import LABELLED, Terms, labelled_sample, learn_terms, subject_areas
+from tessera.llm.split import grouped_split, search_key
+from tessera.llm.subjects import LISTED, Terms, hash_share, labelled_sample, learn_terms, subject_areas
 from tessera.llm.topn import best_items, top_n
-from tessera.operators.packed import known_keys, split_values
+from tessera.operators.packed import known_keys, one_per_key, split_values
 
+MOST_AREAS = 10_000
 ITEM_TEXTS = ["item_title_raw", "item_description_raw", "item_infm_params_text"]
 
 
@@ -28,23 +29,28 @@ def _searches(spark: SparkSession, folder: str, *carry: str) -> DataFrame:
     return search_key(pairs, "search_query", "search_location_id", "search_infm_params_text", keys).select("pair_id", "k1", "k2", *carry)
 
 
+def _split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    searches = _searches(spark, folder, "item_category_id")
+    return searches, grouped_split(searches, "pair_id", [["k1", "k2"]], "item_category_id")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The rows of train that share their search with another row, and the group's least pair_id."""
-    return repeated_groups(_searches(spark, folder), "pair_id", ["k1", "k2"])
+    """The rows of train that were put into a split together with others of their search, and the group's least pair_id."""
+    _, placed = _split(spark, folder)
+    return placed.where("n_rows > 1 and split is not null").select("pair_id", F.col("component").alias("group_id"))
 
 
 def p2_split(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows and shares of the splits by item category, every search whole in one split."""
-    searches = _searches(spark, folder, "item_category_id").withColumn("search", F.concat_ws(":", "k1", "k2"))
-    placed = stratified_split(searches, "search", "item_category_id")
-    sizes = searches.groupBy("search", "item_category_id").agg(F.count(F.lit(1)).alias("n")).join(placed, "search")
-    return sizes.groupBy("split", "item_category_id").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("searches"))
+    """Rows and searches of the splits by item category, every search whole in one split."""
+    searches, placed = _split(spark, folder)
+    each = placed.join(searches.select("pair_id", "item_category_id"), "pair_id").groupBy("component", "split", "item_category_id").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("split", "item_category_id").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("searches"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Terms at least three times in an item's texts and in at most four items."""
-    scored = term_scores(table(spark, folder, "benchmark_items"), "item_id", ITEM_TEXTS, most_df=4)
-    return scored.where("tf >= 3").select("item_id", "term")
+    """Terms that mark out an item: in at most four items, a positive share of the divergence, at least three times in its texts."""
+    scored = term_scores(table(spark, folder, "benchmark_items"), "item_id", ITEM_TEXTS, least_df=1, most_df=4)
+    return scored.where("score > 0 and tf >= 3").select("item_id", "term")
 
 
 def p4_top_terms(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,7 +70,7 @@ SCORES = ["lexical", "geo", "facet", "microcat", "dense"]
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Items among the best three of their query in at least four of the five scores, in queries of ten items or more."""
     placed = score_places(table(spark, folder, "candidates"), "query_id", "item_id", SCORES)
-    good = F.size(F.filter("places", lambda p: p <= 3)) >= 4
+    good = F.size(F.filter("own", lambda x: x["place"] <= 3)) >= 4
     return placed.where((F.col("n_items") >= 10) & good).select(F.col("g").alias("query_id"), F.col("i").alias("item_id"))
 
 
@@ -96,15 +102,9 @@ def p8_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "leaked_words", "dropped", F.length("clean").cast("bigint").alias("clean_chars"))
 
 
-#: The domains of the mixing tree.
-DOMAINS = {"listing": "market", "review": "market", "chat": "talk", "forum": "talk", "help": "pages", "blog": "pages", "guide": "pages"}
-
-
 def _sized(spark: SparkSession, folder: str, sources: list[str]) -> DataFrame:
-    """Documents with tokens under domain, language and source."""
-    source = clean_name("source")
-    domain = F.create_map(*[F.lit(x) for pair in DOMAINS.items() for x in pair])
-    path = [F.coalesce(F.try_element_at(domain, source), F.lit("other")), F.coalesce(F.substring_index(clean_name("lang"), "-", 1), F.lit("und")), source]
+    """Documents with tokens under language and source; these tables name no domain above them."""
+    path = [F.coalesce(F.substring_index(clean_name("lang"), "-", 1), F.lit("und")), clean_name("source")]
     return sized_records(table(spark, folder, "documents"), "doc_id", "text", path, sources)
 
 
@@ -127,22 +127,23 @@ def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _listing_sample(spark: SparkSession, folder: str, most: int) -> list[tuple[str, list]]:
-    """Listings as labelled texts: their params name the area. At most ``most``, of least hash."""
-    if most <= 0:
-        return []
+    """About ``most`` listings as labelled texts: a value of their params is what subject_areas says an area is about."""
     items = table(spark, folder, "benchmark_items").where("item_id is not null and item_infm_params_text is not null")
-    some = items.orderBy(F.xxhash64(F.lit(13), "item_id"), "item_id").limit(most)
+    some = one_per_key(items.where(hash_share("item_id", items.count(), most)), "item_id", ITEM_TEXTS)
     text = some.select("item_id", F.concat_ws("\n", "item_title_raw", "item_description_raw").alias("text"), "item_infm_params_text")
-    areas = table(spark, folder, "subject_areas").select(F.col("about").alias("val"), "subject_id")
-    values = split_values(text, "item_infm_params_text", known_keys(table(spark, folder, "param_keys")), ["item_id", "text"]).where("param_key = 'Направление'")
-    named = values.join(F.broadcast(areas), "val").groupBy("item_id", "text").agg(F.collect_set("subject_id").alias("own"))
-    return [(r["text"], sorted(r["own"])) for r in named.where(F.size("own") == 1).orderBy("item_id", "text").collect()]
+    about = [(r[0], r[1]) for r in table(spark, folder, "subject_areas").where("about is not null and subject_id is not null").select("about", "subject_id").distinct().limit(MOST_AREAS + 1).collect()]
+    if len(about) > MOST_AREAS:
+        raise ValueError(f"more than {MOST_AREAS} areas")
+    areas = spark.createDataFrame(about, "val string, subject_id bigint")
+    values = split_values(text, "item_infm_params_text", known_keys(table(spark, folder, "param_keys")), ["item_id", "text"])
+    named = values.join(F.broadcast(areas), "val").groupBy("item_id").agg(F.min("text").alias("text"), F.collect_set("subject_id").alias("own"))
+    return [(r["text"], r["own"]) for r in sorted(named.where(F.size("own") == 1).collect(), key=lambda r: r["item_id"])]
 
 
 def _subject_terms(spark: SparkSession, folder: str) -> Terms:
-    """Learned from at most ``LABELLED`` texts: labelled documents, filled up with listings."""
+    """Learned from about ``LABELLED`` labelled documents and about ``LISTED`` listings that name their area."""
     labelled = labelled_sample(table(spark, folder, "documents"), table(spark, folder, "subject_labels"), ("doc_id", "text"), "subject_id")
-    return learn_terms(labelled + _listing_sample(spark, folder, LABELLED - len(labelled)))
+    return learn_terms(labelled + _listing_sample(spark, folder, LISTED))
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:

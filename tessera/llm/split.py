@@ -1,13 +1,15 @@
 """Train, validation and test splits that keep related records together.
 
-Records that share a value of the linking key form a component. Components are placed by
-grouped iterative stratification: each carries the vector of its label counts; labels are
-taken by the fewest records outstanding, the components whose rarest label it is are placed
-into the splits that still need that label most. Components of at least a thousandth of
-all records (at most a thousand of them) are placed one by one on the driver. The rest are
-placed in bulk: per label the driver knows only the summed label vectors in 2048 hash bins,
-gives each split the bins that fill its need, and one pass over the components reads the
-split from (label, bin). Neither components nor links ever come to the driver.
+Records that share a value of a linking key form a component, and so do records linked
+through others, by whichever keys. Components are placed by grouped iterative
+stratification: each carries the vector of its label counts; labels are taken by the fewest
+records outstanding, the components whose rarest label it is are placed into the splits
+that still need that label most. Components of at least a thousandth of all records (at
+most a thousand of them) are placed one by one on the driver. The rest are placed in bulk:
+per label the driver knows only the summed label vectors in hash bins, at most
+``MOST_CELLS`` of them over all labels, gives each split the bins that fill its need, and one
+pass over the components reads the split from (label, bin). Neither components nor links
+ever come to the driver.
 """
 
 from __future__ import annotations
@@ -19,10 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.packed import value_set
-from tessera.operators.skew import enrich
+from tessera.operators.skew import attach, enrich
+from tessera.session import durable
 
 SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
-BINS = 2048
+BINS = 2048  # of a label, at most
+MOST_CELLS = 16_384  # bins of all labels together, about
 MOST_LABELS = 500
 
 
@@ -47,22 +51,64 @@ def search_key(df: DataFrame, query: str, location: str, params: str, keys: Sequ
     return named.withColumns({"k1": F.xxhash64(*names), "k2": F.xxhash64(F.lit("second"), *reversed(names))}).drop(*names)
 
 
-def repeated_groups(keyed: DataFrame, row_id: str, keys: Sequence[str]) -> DataFrame:
-    """(row_id, group_id) of rows whose key another row has too; group_id is the least row_id.
+def _stars(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(n, m): each row and the least row that has the same key. A key with a null links nothing."""
+    known = rows.select("n", *keys).where(" and ".join(f"`{k}` is not null" for k in keys))
+    return enrich(known, keys, partial={"__m": F.min("n")}, total={"m": F.min("__m")}, spread=["n"]).select("n", "m")
 
-    Rows with a null row_id take no part. A key that a third of all rows have is spread over
-    salts, see ``enrich``.
+
+def _mark(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("n", "m"))).first())
+
+
+def components(df: DataFrame, row_id: str, keys: Sequence[Sequence[str]]) -> DataFrame:
+    """(n, component): each row and the least row of its component.
+
+    ``keys`` are the linking keys, each of one column or more; rows that share any of them
+    are in one component. A single key makes stars, which are components. Several are merged
+    by alternating large and small stars, each step written to the checkpoint folder, in a
+    number of steps about logarithmic in the length of the longest chain. Nodes of many
+    neighbours are spread by salts. Rows with a null id take no part; ids are to be unique.
     """
-    rows = keyed.where(F.col(row_id).isNotNull()).select(row_id, *keys)
-    grouped = enrich(
-        rows,
-        keys,
-        partial={"__least": F.min(row_id), "__n": F.count(F.lit(1))},
-        total={"group_id": F.min("__least"), "__rows": F.sum("__n")},
-        spread=[row_id],
-        having=F.col("__rows") > 1,
-    )
-    return grouped.select(row_id, "group_id")
+    rows = df.where(F.col(row_id).isNotNull()).select(F.col(row_id).alias("n"), *{c for key in keys for c in key})
+    links = None
+    for key in keys:
+        part = _stars(rows, key)
+        links = part if links is None else links.unionAll(part)
+    if len(keys) > 1:
+        edges = durable(links.where("n <> m").distinct())
+        before = None
+        while (now := _mark(edges)) != before:
+            before = now
+            both = edges.unionAll(edges.select(F.col("m").alias("n"), F.col("n").alias("m")))
+            least = enrich(both, ["n"], partial={"__l": F.min("m")}, total={"l": F.min("__l")}, spread=["m"])
+            # Large star: every larger neighbour of a node goes to the least of the neighbourhood.
+            large = least.where("m > n").select(F.col("m").alias("n"), F.least("n", "l").alias("m")).distinct()
+            # Small star: a node and its smaller neighbours go to the least of these.
+            least = enrich(large, ["n"], partial={"__l": F.min("m")}, total={"l": F.min("__l")}, spread=["m"])
+            small = least.select(F.col("m").alias("n"), F.col("l").alias("m")).unionAll(least.select("n", F.col("l").alias("m")))
+            edges = durable(small.where("n <> m").distinct())
+        links = edges
+    alone = rows.select("n").join(links.select("n").distinct(), "n", "left_anti").select("n", F.col("n").alias("m"))
+    return links.unionAll(alone).select("n", F.col("m").alias("component")) if len(keys) > 1 or _nullable(df, keys[0]) else links.select("n", F.col("m").alias("component"))
+
+
+def _nullable(df: DataFrame, key: Sequence[str]) -> bool:
+    return any(df.schema[c].nullable for c in key)
+
+
+def grouped_split(df: DataFrame, row_id: str, keys: Sequence[Sequence[str]], label: str, shares: dict[str, float] = SPLITS) -> DataFrame:
+    """(row_id, component, n_rows, split) for every row of ``df`` with an id.
+
+    Components are those of ``keys``, named by their least row, ``n_rows`` their size;
+    splits are those of ``stratified_split`` by ``label``.
+    """
+    linked = components(df, row_id, keys).withColumnRenamed("n", "__n")
+    labels = df.where(F.col(row_id).isNotNull()).select(F.col(row_id).alias("__n"), F.col(label).alias("__l"))
+    rows = linked.join(labels, "__n")
+    placed = stratified_split(rows, "component", "__l", shares)
+    out = attach(rows.select("__n", "component"), placed, ["component"], ["__n"])
+    return out.select(F.col("__n").alias(row_id), "component", "n_rows", "split")
 
 
 def place_components(total: np.ndarray, heavy: list[tuple], bulk: dict[tuple[int, int], np.ndarray], shares: Sequence[float]) -> tuple[dict, dict]:
@@ -97,38 +143,42 @@ def place_components(total: np.ndarray, heavy: list[tuple], bulk: dict[tuple[int
     return ones, bins
 
 
-def stratified_split(df: DataFrame, component: str, label: str, shares: dict[str, float] = SPLITS, bins: int = BINS) -> DataFrame:
-    """(component, split): one row per component of ``df``, whole components to one split.
+def stratified_split(df: DataFrame, component: str, label: str, shares: dict[str, float] = SPLITS, cells: int = MOST_CELLS) -> DataFrame:
+    """(component, n_rows, split): one row per component of ``df``, whole components to one split.
 
     A null label is a label of its own; rows with a null component take no part. At most
     ``MOST_LABELS`` labels are taken, more raise ValueError, as label vectors are dense.
+    A label has bins by its share of all rows, 16 at least and ``BINS`` at most, so the driver
+    gets at most ``cells`` + 16 x labels sums, each of the labels that occur in it.
     """
     rows = df.where(F.col(component).isNotNull()).select(F.col(component).alias("c"), F.coalesce(F.col(label).cast("string"), F.lit("\0")).alias("l"))
+    by_label = rows.groupBy("c", "l").agg(F.count(F.lit(1)).alias("n"))
     counts = {r[0]: r[1] for r in rows.groupBy("l").count().limit(MOST_LABELS + 1).collect()}
     if len(counts) > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} labels")
     names = sorted(counts, key=lambda k: (counts[k], k))  # by rarity: the first of a component's labels is its rarest
     total = np.array([counts[k] for k in names], np.int64)
     if not names:
-        return rows.select(F.col("c").alias(component), F.lit("").alias("split"))
+        return rows.select(F.col("c").alias(component), F.lit(0).cast("bigint").alias("n_rows"), F.lit("").alias("split"))
     number = F.create_map(*[x for i, k in enumerate(names) for x in (F.lit(k), F.lit(i))])
-    by_label = rows.groupBy("c", "l").agg(F.count(F.lit(1)).alias("n"))
     vectors = by_label.groupBy("c").agg(F.sum("n").alias("size"), F.collect_list(F.struct(number[F.col("l")].alias("l"), "n")).alias("v"))
     floor = max(1, int(total.sum()) // 1000)
-    cell = F.pmod(F.xxhash64(F.lit(3), "c"), F.lit(bins)).cast("int")
-    placed = vectors.select("c", "size", "v", F.array_min(F.transform("v", lambda x: x["l"])).alias("rare"), cell.alias("bin"))
+    bins = F.array(*[F.lit(int(b)) for b in np.clip(np.ceil(cells * total / total.sum()), 16, BINS)])
+    rare = F.array_min(F.transform("v", lambda x: x["l"]))
+    cell = F.pmod(F.xxhash64(F.lit(3), "c"), F.element_at(bins, F.col("rare") + 1)).cast("int")
+    placed = vectors.select("c", "size", "v", rare.alias("rare")).withColumn("bin", cell)
     vector = lambda pairs: np.bincount([p[0] for p in pairs], [p[1] for p in pairs], len(names))
     heavy = [(r["c"], vector(r["v"])) for r in placed.where(F.col("size") > floor).select("c", "v").collect()]
-    cells: dict = {}
+    sums: dict = {}
     small = placed.where(F.col("size") <= floor).select("rare", "bin", F.explode("v").alias("x")).groupBy("rare", "bin", "x.l").agg(F.sum("x.n").alias("n"))
     for r in small.collect():
-        cells.setdefault((r["rare"], r["bin"]), []).append((r["l"], r["n"]))
-    ones, bulk = place_components(total, heavy, {k: vector(v) for k, v in cells.items()}, list(shares.values()))
+        sums.setdefault((r["rare"], r["bin"]), []).append((r["l"], r["n"]))
+    ones, bulk = place_components(total, heavy, {k: vector(v) for k, v in sums.items()}, list(shares.values()))
     spark = df.sparkSession
     by_cell = spark.createDataFrame([(int(a), int(b), s) for (a, b), s in bulk.items()], "rare int, bin int, s int")
     kind = dict(rows.dtypes)["c"]
     by_one = spark.createDataFrame([(c, s) for c, s in ones.items()], f"c {kind}, t int")
-    # Both are bounded: at most labels x bins cells, and a thousand heavy components.
-    out = placed.select("c", "rare", "bin").join(F.broadcast(by_one), "c", "left").join(F.broadcast(by_cell), ["rare", "bin"], "left")
+    # Both are bounded: the cells above, and a thousand heavy components.
+    out = placed.select("c", "size", "rare", "bin").join(F.broadcast(by_one), "c", "left").join(F.broadcast(by_cell), ["rare", "bin"], "left")
     splits = F.array(*[F.lit(s) for s in shares])
-    return out.select(F.col("c").alias(component), F.element_at(splits, F.coalesce("t", "s") + 1).alias("split"))
+    return out.select(F.col("c").alias(component), F.col("size").alias("n_rows"), F.element_at(splits, F.coalesce("t", "s") + 1).alias("split"))

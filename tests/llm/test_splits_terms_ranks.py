@@ -8,7 +8,7 @@ import pytest
 
 from tessera.llm.distinctive import term_scores
 from tessera.llm.leximin import leximin_best, score_places
-from tessera.llm.split import place_components, query_words, repeated_groups, search_key, stratified_split
+from tessera.llm.split import components, grouped_split, place_components, query_words, search_key, stratified_split
 from tessera.llm.topn import best_items, top_n
 from pyspark.sql import functions as F
 
@@ -26,9 +26,59 @@ def test_same_search_groups_with_a_hot_search(spark):
     rows += [(1004, " ", 5, None, "x"), (1005, None, 5, None, "x"), (1006, " ", 5, None, "x"), (1007, "ремонт окон", 5, "Срок 1", "x"), (None, "ремонт окон", 5, "Срок 1", "x")]
     df = spark.createDataFrame(rows, "pair_id long, q string, loc long, f string, group_id string")
     keyed = search_key(df, "q", "loc", "f", ["Срок"])
-    got = sorted(map(tuple, repeated_groups(keyed, "pair_id", ["k1", "k2"]).collect()))
+    found = components(keyed, "pair_id", [["k1", "k2"]])
+    sizes = Counter(r.component for r in found.collect())
+    got = sorted((r.n, r.component) for r in found.collect() if sizes[r.component] > 1)
     assert got == sorted([(i, 1) for i in range(1, 301)] + [(1000, 1), (1002, 1002), (1003, 1002)])
-    assert repeated_groups(keyed.limit(0), "pair_id", ["k1", "k2"]).count() == 0
+    assert sizes[1001] == sizes[1007] == 1
+    assert components(keyed.limit(0), "pair_id", [["k1", "k2"]]).count() == 0
+
+
+def plain_components(rows):
+    """Of (id, key, key, …) with null keys, by union-find."""
+    parent = {r[0]: r[0] for r in rows}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for k in range(1, len(rows[0])):
+        first = {}
+        for r in rows:
+            if r[k] is not None:
+                a, b = root(r[0]), root(first.setdefault(r[k], r[0]))
+                parent[max(a, b)] = min(a, b)
+    return {r[0]: root(r[0]) for r in rows}
+
+
+@pytest.mark.parametrize("shape", ["random", "chain", "hot"])
+def test_components_over_several_keys(spark, shape):
+    rng = random.Random(7)
+    if shape == "random":
+        rows = [(i, rng.choice([None, *range(120)]), rng.choice([None, *range(90)])) for i in range(200)]
+    elif shape == "chain":  # each record shares its author with the one before and its source with the one after
+        order = rng.sample(range(101), 101)
+        rows = [(order[i], (i + 1) // 2, i // 2) for i in range(101)]
+    else:
+        rows = [(i, 0 if i % 3 == 0 else i, i // 2 if i < 40 else None) for i in range(300)]
+    df = spark.createDataFrame([*rows, (None, 0, 0)], "id long, author long, source long")
+    assert {r.n: r.component for r in components(df, "id", [["author"], ["source"]]).collect()} == plain_components(rows)
+    assert components(df.limit(0), "id", [["author"], ["source"]]).count() == 0
+
+
+def test_grouped_split_keeps_linked_records_together(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.randrange(900), rng.choice([None, *range(1500)]), rng.choice("aaab")) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, author long, source long, label string").withColumn("component", F.lit("clash")).withColumn("salt", F.lit(1))
+    got = grouped_split(df, "id", [["author"], ["source"]], "label").collect()
+    want = plain_components([r[:3] for r in rows])
+    assert {r.id: r.component for r in got} == want
+    sizes, split = Counter(want.values()), {}
+    for r in got:
+        assert r.n_rows == sizes[r.component]
+        assert split.setdefault(r.component, r.split) == r.split
 
 
 def test_split_keeps_components_and_shares(spark):
@@ -38,7 +88,7 @@ def test_split_keeps_components_and_shares(spark):
         size = 2000 if c == 0 else rng.choice([1, 1, 1, 2, 5])
         rows += [(f"c{c}", rng.choice(["a"] * 20 + ["b"] * 4 + ["r"] + [None])) for _ in range(size)]
     df = spark.createDataFrame([*rows, (None, "a")], "c string, l string")
-    placed = {r[0]: r[1] for r in stratified_split(df, "c", "l").collect()}
+    placed = {r.c: r.split for r in stratified_split(df, "c", "l").collect()}
     assert placed.keys() == {c for c, _ in rows}
     by_label = defaultdict(Counter)
     for c, label in rows:
@@ -98,8 +148,8 @@ def test_best_items_ties_repeats_nulls_and_a_hot_group(spark):
     assert {r.g for r in kept.collect()} == {"hot", "q", None, "empty"}
 
 
-@pytest.mark.parametrize("large", [1, 100, 50_000])
-def test_places_and_leximin_against_plain_python(spark, large):
+@pytest.mark.parametrize("piece", [1, 100, 50_000])
+def test_places_and_leximin_against_plain_python(spark, piece):
     rng = random.Random(5)
     rows = []
     for g, n in (("hot", 9000), ("small", 12), ("one", 1)):
@@ -131,7 +181,7 @@ def test_places_and_leximin_against_plain_python(spark, large):
                     places.append(int(higher) + 1)
                     pct.append(1 - higher / len(ordered[k]))
             want[q, item] = (len(items), places, sorted(pct))
-    placed = score_places(df, "q", "item", ["a", "b", "c"], large).cache()
+    placed = score_places(df, "q", "item", ["a", "b", "c"], piece).cache()
     got = {(r.g, r.i): (r.n_items, r.places, r.vector) for r in placed.collect()}
     assert got.keys() == want.keys()
     assert all(got[k][:2] == want[k][:2] and np.allclose(got[k][2], want[k][2], atol=1e-12) for k in want)

@@ -61,9 +61,25 @@ def test_automaton_against_all_grams():
         grams = {tuple(document[i : i + 4]) for i in range(57)}
         want = {k for k, t in passages if any(tuple(t.split()[i : i + 4]) in grams for i in range(len(t.split()) - 3))}
         assert got == want
-        for who, spans in machine.spans(document).items():
+        for who, (longest, union) in machine.spans(document).items():
             text = f" {dict(passages)[who]} "
-            assert all(f" {' '.join(document[lo:hi])} " in text for lo, hi in spans)
+            runs = {(lo, hi) for lo in range(60) for hi in range(lo + 4, 61) if f" {' '.join(document[lo:hi])} " in text}
+            assert longest == max(hi - lo for lo, hi in runs)
+            assert {i for lo, hi in union for i in range(lo, hi)} == {i for lo, hi in runs for i in range(lo, hi)}
+            assert all(a[1] < b[0] for a, b in zip(union, union[1:]))
+
+
+def test_repetitive_passages_take_linear_time():
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        machine = SuffixAutomaton([(1, "а " * n), (2, "а " * (n // 2) + "б " * n)], 12)
+        assert machine.spans(["а"] * n)[1] == (n, [(0, n)])
+        return time.perf_counter() - began
+
+    seconds(2_000)
+    assert seconds(32_000) < 24 * max(seconds(4_000), 0.01)  # 64 times if it were quadratic
 
 
 def test_words_and_their_places():
