@@ -29,21 +29,18 @@ def _searches(spark: SparkSession, folder: str, *carry: str) -> DataFrame:
     return search_key(pairs, "search_query", "search_location_id", "search_infm_params_text", keys).select("pair_id", "k1", "k2", *carry)
 
 
-def _split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    searches = _searches(spark, folder, "item_category_id")
-    return searches, grouped_split(searches, "pair_id", [["k1", "k2"]], "item_category_id")
+def _split(spark: SparkSession, folder: str) -> DataFrame:
+    return grouped_split(_searches(spark, folder, "item_category_id"), "pair_id", [["k1", "k2"]], "item_category_id")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """The rows of train that were put into a split together with others of their search, and the group's least pair_id."""
-    _, placed = _split(spark, folder)
-    return placed.where("n_rows > 1 and split is not null").select("pair_id", F.col("component").alias("group_id"))
+    return _split(spark, folder).where("n_rows > 1 and split is not null").select("pair_id", F.col("component").alias("group_id"))
 
 
 def p2_split(spark: SparkSession, folder: str) -> DataFrame:
     """Rows and searches of the splits by item category, every search whole in one split."""
-    searches, placed = _split(spark, folder)
-    each = placed.join(searches.select("pair_id", "item_category_id"), "pair_id").groupBy("component", "split", "item_category_id").agg(F.count(F.lit(1)).alias("n"))
+    each = _split(spark, folder).groupBy("component", "split", "item_category_id").agg(F.count(F.lit(1)).alias("n"))
     return each.groupBy("split", "item_category_id").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("searches"))
 
 

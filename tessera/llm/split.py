@@ -51,18 +51,18 @@ def search_key(df: DataFrame, query: str, location: str, params: str, keys: Sequ
     return named.withColumns({"k1": F.xxhash64(*names), "k2": F.xxhash64(F.lit("second"), *reversed(names))}).drop(*names)
 
 
-def _stars(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _stars(rows: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
     """(n, m): each row and the least row that has the same key. A key with a null links nothing."""
-    known = rows.select("n", *keys).where(" and ".join(f"`{k}` is not null" for k in keys))
-    return enrich(known, keys, partial={"__m": F.min("n")}, total={"m": F.min("__m")}, spread=["n"]).select("n", "m")
+    known = rows.select("n", *keys, *carry).where(" and ".join(f"`{k}` is not null" for k in keys))
+    return enrich(known, keys, partial={"__m": F.min("n")}, total={"m": F.min("__m")}, spread=["n"]).select("n", "m", *carry)
 
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("n", "m"))).first())
 
 
-def components(df: DataFrame, row_id: str, keys: Sequence[Sequence[str]]) -> DataFrame:
-    """(n, component): each row and the least row of its component.
+def components(df: DataFrame, row_id: str, keys: Sequence[Sequence[str]], carry: Sequence[str] = ()) -> DataFrame:
+    """(n, component) and the ``carry`` columns: each row and the least row of its component.
 
     ``keys`` are the linking keys, each of one column or more; rows that share any of them
     are in one component. A single key makes stars, which are components. Several are merged
@@ -70,45 +70,43 @@ def components(df: DataFrame, row_id: str, keys: Sequence[Sequence[str]]) -> Dat
     number of steps about logarithmic in the length of the longest chain. Nodes of many
     neighbours are spread by salts. Rows with a null id take no part; ids are to be unique.
     """
-    rows = df.where(F.col(row_id).isNotNull()).select(F.col(row_id).alias("n"), *{c for key in keys for c in key})
+    names = list(dict.fromkeys(c for key in keys for c in key))
+    kept = [f"__c{i}" for i in range(len(carry))]
+    rows = durable(df.where(F.col(row_id).isNotNull()).select(F.col(row_id).alias("n"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(names)], *[F.col(c).alias(k) for c, k in zip(carry, kept, strict=True)]))
+    key_names = [[f"__k{names.index(c)}" for c in key] for key in keys]
+    back = [F.col(k).alias(c) for c, k in zip(carry, kept, strict=True)]
+    if len(keys) == 1:
+        alone = rows.where(" or ".join(f"`{k}` is null" for k in key_names[0])).select("n", F.col("n").alias("m"), *kept)
+        return _stars(rows, key_names[0], kept).unionAll(alone).select("n", F.col("m").alias("component"), *back)
     links = None
-    for key in keys:
+    for key in key_names:
         part = _stars(rows, key)
         links = part if links is None else links.unionAll(part)
-    if len(keys) > 1:
-        edges = durable(links.where("n <> m").distinct())
-        before = None
-        while (now := _mark(edges)) != before:
-            before = now
-            both = edges.unionAll(edges.select(F.col("m").alias("n"), F.col("n").alias("m")))
-            least = enrich(both, ["n"], partial={"__l": F.min("m")}, total={"l": F.min("__l")}, spread=["m"])
-            # Large star: every larger neighbour of a node goes to the least of the neighbourhood.
-            large = least.where("m > n").select(F.col("m").alias("n"), F.least("n", "l").alias("m")).distinct()
-            # Small star: a node and its smaller neighbours go to the least of these.
-            least = enrich(large, ["n"], partial={"__l": F.min("m")}, total={"l": F.min("__l")}, spread=["m"])
-            small = least.select(F.col("m").alias("n"), F.col("l").alias("m")).unionAll(least.select("n", F.col("l").alias("m")))
-            edges = durable(small.where("n <> m").distinct())
-        links = edges
-    alone = rows.select("n").join(links.select("n").distinct(), "n", "left_anti").select("n", F.col("n").alias("m"))
-    return links.unionAll(alone).select("n", F.col("m").alias("component")) if len(keys) > 1 or _nullable(df, keys[0]) else links.select("n", F.col("m").alias("component"))
-
-
-def _nullable(df: DataFrame, key: Sequence[str]) -> bool:
-    return any(df.schema[c].nullable for c in key)
+    edges = durable(links.where("n <> m").distinct())
+    before = None
+    while (now := _mark(edges)) != before:
+        before = now
+        both = edges.unionAll(edges.select(F.col("m").alias("n"), F.col("n").alias("m")))
+        least = enrich(both, ["n"], partial={"__l": F.min("m")}, total={"l": F.min("__l")}, spread=["m"])
+        # Large star: every larger neighbour of a node goes to the least of the neighbourhood.
+        large = least.where("m > n").select(F.col("m").alias("n"), F.least("n", "l").alias("m")).distinct()
+        # Small star: a node and its smaller neighbours go to the least of these.
+        least = enrich(large, ["n"], partial={"__l": F.min("m")}, total={"l": F.min("__l")}, spread=["m"])
+        small = least.select(F.col("m").alias("n"), F.col("l").alias("m")).unionAll(least.select("n", F.col("l").alias("m")))
+        edges = durable(small.where("n <> m").distinct())
+    # Only now has every row but the least of a component exactly one link.
+    return rows.join(edges, "n", "left").select("n", F.coalesce("m", "n").alias("component"), *back)
 
 
 def grouped_split(df: DataFrame, row_id: str, keys: Sequence[Sequence[str]], label: str, shares: dict[str, float] = SPLITS) -> DataFrame:
-    """(row_id, component, n_rows, split) for every row of ``df`` with an id.
+    """(row_id, component, n_rows, label, split) for every row of ``df`` with an id.
 
     Components are those of ``keys``, named by their least row, ``n_rows`` their size;
     splits are those of ``stratified_split`` by ``label``.
     """
-    linked = components(df, row_id, keys).withColumnRenamed("n", "__n")
-    labels = df.where(F.col(row_id).isNotNull()).select(F.col(row_id).alias("__n"), F.col(label).alias("__l"))
-    rows = linked.join(labels, "__n")
-    placed = stratified_split(rows, "component", "__l", shares)
-    out = attach(rows.select("__n", "component"), placed, ["component"], ["__n"])
-    return out.select(F.col("__n").alias(row_id), "component", "n_rows", "split")
+    rows = durable(components(df, row_id, keys, [label]))
+    out = attach(rows, stratified_split(rows, "component", label, shares), ["component"], ["n"])
+    return out.select(F.col("n").alias(row_id), "component", "n_rows", label, "split")
 
 
 def place_components(total: np.ndarray, heavy: list[tuple], bulk: dict[tuple[int, int], np.ndarray], shares: Sequence[float]) -> tuple[dict, dict]:
@@ -166,7 +164,7 @@ def stratified_split(df: DataFrame, component: str, label: str, shares: dict[str
     bins = F.array(*[F.lit(int(b)) for b in np.clip(np.ceil(cells * total / total.sum()), 16, BINS)])
     rare = F.array_min(F.transform("v", lambda x: x["l"]))
     cell = F.pmod(F.xxhash64(F.lit(3), "c"), F.element_at(bins, F.col("rare") + 1)).cast("int")
-    placed = vectors.select("c", "size", "v", rare.alias("rare")).withColumn("bin", cell)
+    placed = durable(vectors.select("c", "size", "v", rare.alias("rare")).withColumn("bin", cell))
     vector = lambda pairs: np.bincount([p[0] for p in pairs], [p[1] for p in pairs], len(names))
     heavy = [(r["c"], vector(r["v"])) for r in placed.where(F.col("size") > floor).select("c", "v").collect()]
     sums: dict = {}
