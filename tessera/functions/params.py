@@ -8,8 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.keys import uniform
 from tessera.functions.text import BLANK, as_column, truncate
 
+SAMPLE = 20_000  # texts that keys are sought in by the command
 ADDRESS_KEY = "Место оказания услуг"
 _BOUNDARY = "\x02"
 
@@ -142,8 +144,13 @@ def discover_keys(texts: DataFrame, doc: str, text: str, left: float = 2.0, righ
     return sorted(found, key=lambda k: (-len(k.split(" ")), k))
 
 
-def discover_parser(texts: DataFrame, doc: str, text: str, address: str = ADDRESS_KEY) -> list[str]:
-    """Keys in two passes: if the address is one, its values are blanked (their first place) and keys sought again."""
+def discover_parser(texts: DataFrame, doc: str, text: str, address: str = ADDRESS_KEY, sample: int | None = None, seed: int = 0) -> list[str]:
+    """Keys in two passes: if the address is one, its values are blanked (their first place) and keys sought again.
+
+    With ``sample`` about so many texts are looked at, chosen by the hash of their doc; None takes all.
+    """
+    if sample is not None and (n := texts.count()) > sample:
+        texts = texts.where(uniform(F.col(doc), seed) < sample / n)
     first = discover_keys(texts, doc, text)
     if address not in first:
         return first

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.keys import QUERY_COLUMNS, composite_key, short_id, shuffled, uniform
 from tessera.functions.text import word_count
+from tessera.operators.selection import hex_value, least
+from tessera.sources.tables import ITEM_FIELDS, load_tables, save_tables
 
 MATCHED = ("location", "empty_filter", "words")
 MOST_CELLS = 1_000_000
@@ -69,7 +72,14 @@ def sample_weighted(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     eligible = rows.where("weight > 0")
     if eligible.count() < n:
         raise ValueError(f"fewer than {n} eligible queries")
-    return eligible.orderBy(F.round(-F.log(uniform(F.col(key), seed)) / F.col("weight"), 12), key).limit(n)
+    race = F.round(-F.log(uniform(F.col(key), seed)) / F.col("weight"), 12)
+    return least(eligible.withColumn("race", race), "race", [key], n).drop("race")
+
+
+def sample_rows(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """``n`` rows without replacement, all with the same chance: the first in the hash order of their key."""
+    placed = rows.withColumn("__o", shuffled(F.col(key), seed))
+    return least(placed.withColumn("__v", hex_value(F.col("__o"))), "__v", ["__o", key], n).drop("__o", "__v")
 
 
 def donor_cut(pairs: DataFrame, needed: int, seed: int) -> DataFrame:
@@ -81,8 +91,8 @@ def donor_cut(pairs: DataFrame, needed: int, seed: int) -> DataFrame:
     placed = pairs.select("query_id", "item_id", shuffled(F.col("query_id"), seed).alias("o"))
     if needed <= 0:
         return placed.select("query_id").limit(0)
-    freed = placed.groupBy("item_id").agg(F.max("o").alias("last")).orderBy("last").select("last").limit(needed)
-    cut = freed.agg(F.max("last").alias("cut"))
+    freed = placed.groupBy("item_id").agg(F.max("o").alias("last")).withColumn("v", hex_value(F.col("last")))
+    cut = least(freed, "v", ["last"], needed).agg(F.max("last").alias("cut"))
     return placed.select("query_id", "o").distinct().join(F.broadcast(cut), F.col("o") <= F.col("cut")).select("query_id")  # one row
 
 
@@ -95,7 +105,7 @@ def match_donors(positives: DataFrame, fit_items: DataFrame, target: float, n: i
     """
     flags = positives.select("query_id", "item_id").distinct().join(fit_items.select("item_id").distinct().withColumn("f", F.lit(1)), "item_id", "left")
     per = flags.groupBy("query_id").agg(F.count("f").alias("seen"), (F.count(F.lit(1)) - F.count("f")).alias("unseen")).withColumn("o", shuffled(F.col("query_id"), seed))
-    head = per.where("seen > 0").orderBy("o", "query_id").limit(max(1, n // 3))
+    head = least(per.where("seen > 0").withColumn("v", hex_value(F.col("o"))), "v", ["o", "query_id"], max(1, n // 3))
     got = head.agg(F.coalesce(F.sum("seen"), F.lit(0)).alias("s"), F.coalesce(F.sum("unseen"), F.lit(0)).alias("u"), F.count(F.lit(1)).alias("n")).first()
     needed = got["s"] * (1 - target) / target - got["u"] if target > 0 else float("inf")
     rest = per.where("seen = 0").withColumn("b", F.substring("o", 1, 3))
@@ -129,7 +139,7 @@ def build(pairs: DataFrame, queries: DataFrame, n_queries: int, corpus_size: int
     fit_items = fit.select("item_id").distinct()
     from_positives = positives.join(fit_items, "item_id", "left_semi").count()
     n_positives = positives.count()
-    pick = lambda df, n: df.orderBy(shuffled(F.col("item_id"), seed), "item_id").limit(max(0, n))
+    pick = lambda df, n: sample_rows(df, "item_id", n, seed)
     seen_pool = fit_items.join(positives, "item_id", "left_anti")
     seen_n = min(max(0, seen_target - from_positives), seen_pool.count())
     unseen_pool = free.select("item_id").distinct().join(fit_items, "item_id", "left_anti").join(positives, "item_id", "left_anti")
@@ -140,8 +150,65 @@ def build(pairs: DataFrame, queries: DataFrame, n_queries: int, corpus_size: int
     return {"queries": held, "qrels": truth, "corpus": items, "fit_pairs": fit.select("pair_id", "query_id", "item_id"), "donor": donor}
 
 
-def leakage_checks(tables: dict[str, DataFrame], seen_share: float) -> DataFrame:
-    """(problem, n) of a built benchmark; none means that nothing leaks."""
+def first_rows(pairs: DataFrame, key: str, columns: Sequence[str], order: str = "pair_id") -> DataFrame:
+    """(key, the columns) of each key's first row by ``order``; only the least row of a task's own travels."""
+    rows = pairs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.min_by(F.struct(*columns), order).alias("__r"))
+    return rows.select(F.col("__k").alias(key), *[F.col(f"__r.{c}").alias(c) for c in columns])
+
+
+PARTS = ("queries", "qrels", "corpus", "fit_pairs", "donor")
+
+
+@dataclass(frozen=True)
+class LocalBenchmark:
+    """A built benchmark: held-out queries and their qrels, the corpus' ids, the pairs that may be learnt from, the donor."""
+
+    queries: DataFrame
+    qrels: DataFrame
+    corpus: DataFrame
+    fit_pairs: DataFrame
+    donor: DataFrame
+    meta: dict
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {name: getattr(self, name) for name in PARTS}
+
+    def query_ids(self) -> DataFrame:
+        return self.queries.select("query_id")
+
+    def corpus_items(self, pairs: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+        """The corpus with the columns of each item's first pair; an item without one raises KeyError."""
+        wanted = [c for c in columns or ITEM_FIELDS if c != "item_id" and c in pairs.columns]
+        lost = self.corpus.join(pairs.select("item_id").distinct(), "item_id", "left_anti").count()
+        if lost:
+            raise KeyError(f"{lost} items of the corpus have no pair")
+        return self.corpus.select("item_id").distinct().join(first_rows(pairs, "item_id", wanted), "item_id")
+
+    def fitted(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that may be learnt from: without held-out and donor queries."""
+        return pairs.join(self.fit_pairs.select("pair_id"), "pair_id", "left_semi")
+
+    def save(self, folder: str) -> None:
+        save_tables(self.tables(), folder, self.meta)
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str, meta: dict | None = None) -> LocalBenchmark | None:
+        """A saved benchmark, or None if there is none or one of another ``meta``."""
+        found = load_tables(spark, folder, meta)
+        if found is None:
+            return None
+        tables, settings = found if isinstance(found, tuple) else (found, meta)
+        return cls(**{name: tables[name] for name in PARTS}, meta=settings)
+
+
+def build_local(pairs: DataFrame, queries: DataFrame, n_queries: int, corpus_size: int, seen_share: float, seed: int = 42) -> LocalBenchmark:
+    """``build`` with what it was built by."""
+    tables = build(pairs, queries, n_queries, corpus_size, seen_share, seed)
+    return LocalBenchmark(**tables, meta={"n_queries": n_queries, "corpus_size": corpus_size, "seen_share": seen_share, "seed": seed})
+
+
+def leakage_checks(tables: dict[str, DataFrame], seen_share: float, every: bool = False) -> DataFrame:
+    """(problem, n) of a built benchmark; none means that nothing leaks. ``every`` also gives the checks that found nothing."""
     queries, truth, items, fit = (tables[t] for t in ("queries", "qrels", "corpus", "fit_pairs"))
     one = lambda name, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("problem"), "n")
     known = items.select("item_id").distinct()
@@ -158,4 +225,4 @@ def leakage_checks(tables: dict[str, DataFrame], seen_share: float) -> DataFrame
     out = found[0]
     for part in found[1:]:
         out = out.unionAll(part)
-    return out.where("n > 0")
+    return out if every else out.where("n > 0")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.keys import numbered, uniform
 from tessera.operators.exact import nearest_places
 
 #: Final weights of the signals.
@@ -82,3 +84,42 @@ def pad_with_nearest(run: DataFrame, queries: DataFrame, items: DataFrame, k: in
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "doc")) + F.col("n")
     filled = free.withColumn("rnk", place.cast("bigint")).where(F.col("rnk") <= k)
     return run.select("query", "rnk", "doc").unionByName(filled.select("query", "rnk", "doc"))
+
+
+def descend(components: DataFrame, relevant: DataFrame, start: dict[str, float], grids: dict[str, Sequence[float]], k: int) -> DataFrame:
+    """(step, signal, weight, recall, chosen): weights tried one signal after the other, the best kept.
+
+    ``components`` has query, doc, lexical (as it is to be summed) and the signals. A grid is
+    one job; only its recalls, as many as it has weights, come to the driver. Of equal ones
+    the smallest weight is kept.
+    """
+    spark = components.sparkSession
+    sizes = relevant.groupBy("query").agg(F.count(F.lit(1)).alias("size"))
+    n = sizes.count()
+    truth = relevant.join(sizes, "query")
+    weights, out = dict(start), []
+    for step, (signal, grid) in enumerate(grids.items(), 1):
+        rest = sum((F.lit(w) * F.col(s) for s, w in weights.items() if s != signal), F.col("lexical"))
+        points = F.explode(F.array(*[F.lit(float(w)) for w in grid]))
+        each = components.select("query", "doc", rest.alias("rest"), signal).withColumn("w", points).withColumn("total", F.round(F.col("rest") + F.col("w") * F.col(signal), 9))
+        top = each.withColumn("rnk", F.row_number().over(Window.partitionBy("w", "query").orderBy(F.col("total").desc(), "doc"))).where(F.col("rnk") <= k)
+        found = top.join(truth, ["query", "doc"]).groupBy("w").agg(F.round(F.sum(1 / F.col("size")) / n, 6).alias("recall"))
+        recall = {r["w"]: r["recall"] for r in found.collect()}
+        recall = {float(w): recall.get(float(w), 0.0) for w in grid}
+        weights[signal] = min(recall, key=lambda w: (-recall[w], w))
+        out += [(step, signal, w, r, w == weights[signal]) for w, r in recall.items()]
+    return spark.createDataFrame(out, "step bigint, signal string, weight double, recall double, chosen boolean")
+
+
+def random_run(queries: DataFrame, docs: DataFrame, k: int, seed: int) -> DataFrame:
+    """(query, rnk, doc): ``k`` docs without replacement for each query, by slots of a numbered order.
+
+    Each query starts at a slot of its own hash and takes every ``step``-th after it, the step
+    having no divisor in common with the number of docs, so no query meets every doc.
+    """
+    n = docs.count()
+    step = next(s for s in range(max(1, int(n * 0.618)), n + 2) if math.gcd(s, max(n, 1)) == 1)
+    slots = F.explode(F.sequence(F.lit(0), F.lit(min(k, n) - 1))) if n else F.explode(F.array().cast("array<int>"))
+    drawn = queries.select("query", F.floor(uniform(F.col("query"), seed) * n).alias("start"), slots.alias("i"))
+    placed = drawn.select("query", (F.col("i") + 1).cast("bigint").alias("rnk"), F.pmod(F.col("start") + F.col("i") * step, F.lit(max(n, 1))).cast("bigint").alias("slot"))
+    return placed.join(numbered(docs, "doc", seed), "slot").select("query", "rnk", "doc")

@@ -13,9 +13,12 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import tokens
+from tessera.functions.params import telling_values
+from tessera.functions.text import tokens, truncate
+from tessera.session import durable
 
 K1 = 1.2
+HOT = 20_000  # documents of a term that one join task may take
 
 
 @dataclass(frozen=True)
@@ -29,9 +32,15 @@ class Field:
 FIELDS = (Field("title", 20.0, 0.6), Field("params", 0.5, 0.75), Field("description", 1.0, 0.75))
 
 
-def item_fields(items: DataFrame, doc: str = "item_id", params: Column | None = None, description: Column | None = None) -> DataFrame:
-    """(doc, field, text) of the three fields; null texts are ''."""
-    texts = {"title": F.col("item_title_raw"), "params": F.col("item_infm_params_text") if params is None else params, "description": F.col("item_description_raw") if description is None else description}
+def item_fields(items: DataFrame, doc: str = "item_id", keys: Sequence[str] | None = None, description_chars: int | None = None, address: bool = True) -> DataFrame:
+    """(doc, field, text) of the three fields; null texts are ''.
+
+    With ``keys`` the params are parsed and only their telling values indexed, without the
+    address if so wished; ``description_chars`` cuts the description.
+    """
+    params = F.col("item_infm_params_text") if keys is None else F.array_join(telling_values("item_infm_params_text", keys, address), " ")
+    description = F.col("item_description_raw") if description_chars is None else truncate("item_description_raw", description_chars)
+    texts = {"title": F.col("item_title_raw"), "params": params, "description": description}
     parts = F.array(*[F.struct(F.lit(n).alias("field"), F.coalesce(c, F.lit("")).alias("text")) for n, c in texts.items()])
     return items.select(F.col(doc).alias("doc"), F.explode(parts).alias("x")).select("doc", "x.field", "x.text")
 
@@ -43,10 +52,14 @@ class Index:
     vocabulary: DataFrame
     fields: tuple[Field, ...] = FIELDS
     k1: float = K1
+    known: tuple[str, ...] = tuple(f.name for f in FIELDS)  # the fields that were indexed
 
     def reweight(self, fields: Sequence[Field] | None = None, k1: float | None = None) -> Index:
         """The same tables under other weights; idf stays. Unknown fields raise KeyError."""
         chosen = tuple(fields) if fields is not None else self.fields
+        unknown = [f.name for f in chosen if f.name not in self.known]
+        if unknown:
+            raise KeyError(f"no such fields: {', '.join(unknown)}")
         return replace(self, fields=chosen, k1=self.k1 if k1 is None else k1)
 
     def averages(self) -> dict[str, float]:
@@ -79,10 +92,15 @@ class Index:
     def scores(self, queries: DataFrame) -> DataFrame:
         """(query, doc, score) of every pair that shares a term; ``queries`` has (query, text).
 
-        A term counts once in a query. Unknown words and empty queries give nothing.
+        A term counts once in a query. Unknown words and empty queries give nothing. A term
+        of more than ``HOT`` documents is dealt to as many parts as that makes, the queries
+        that ask for it going to each.
         """
-        wanted = query_terms(queries)
-        return wanted.join(self.weights(wanted), "term").groupBy("query", "doc").agg(F.sum("w").alias("score"))
+        parts = F.ceil(F.col("df") / HOT).cast("int")
+        wanted = query_terms(queries).join(self.vocabulary.select("term", parts.alias("parts")), "term")
+        there = self.weights(wanted).join(wanted.select("term", "parts").distinct(), "term").select("doc", "term", "w", F.pmod(F.xxhash64("doc"), "parts").cast("int").alias("part"))
+        asked = wanted.select("query", "term", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        return asked.join(there, ["term", "part"]).groupBy("query", "doc").agg(F.sum("w").alias("score"))
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """(query, rnk, doc, score): the ``k`` best, ties by smaller doc."""
@@ -115,14 +133,25 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query", F.explode(F.array_distinct(tokens("text"))).alias("term"))
 
 
-def build_index(documents: DataFrame, fields: Sequence[Field] = FIELDS, k1: float = K1, tokenizer: Callable[[str], Column] = tokens, least_df: int = 1) -> Index:
+def build_index(documents: DataFrame, fields: Sequence[Field] = FIELDS, k1: float = K1, tokenizer: Callable[[str], Column] = tokens, least_df: int = 1, check: bool = False, keep: bool = False) -> Index:
     """An index of (doc, field, text) rows, one row per doc and field.
 
     ``tokenizer`` makes an array column of a text column's name. A text's length counts all
     its tokens; a term needs ``least_df`` documents summed over the fields, while idf counts
     a document once whichever fields have the term. idf = ln(1 + (N - df + .5) / (df + .5)).
+    Missing columns raise KeyError; ``check`` also looks for documents that lack or repeat a
+    field, which raise ValueError. With ``keep`` the tokens and the vocabulary are written to
+    the checkpoint folder, so that what is read several times is tokenised once.
     """
+    missing = [c for c in ("doc", "field", "text") if c not in documents.columns]
+    if missing:
+        raise KeyError(f"missing columns: {', '.join(missing)}")
+    if check:
+        shape = documents.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("field").alias("d")).where((F.col("n") != len(fields)) | (F.col("d") != len(fields)))
+        if not shape.isEmpty():
+            raise ValueError("each document needs one text in each field")
     cut = documents.select("doc", "field", tokenizer("text").alias("words"))
+    cut = durable(cut) if keep else cut
     lengths = cut.select("doc", "field", F.size("words").cast("bigint").alias("len"))
     postings = cut.select("doc", "field", F.size("words").cast("bigint").alias("len"), F.explode("words").alias("term")).groupBy("doc", "field", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
     if least_df > 1:
@@ -130,5 +159,6 @@ def build_index(documents: DataFrame, fields: Sequence[Field] = FIELDS, k1: floa
         postings = postings.join(enough, "term", "left_semi")
     n = lengths.select("doc").distinct().count()
     df = postings.select("term", "doc").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = durable(df) if keep else df
     vocabulary = df.select("term", "df", F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    return Index(postings, lengths, vocabulary, tuple(fields), k1)
+    return Index(postings, lengths, vocabulary, tuple(fields), k1, tuple(f.name for f in fields))

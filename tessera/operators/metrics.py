@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.keys import uniform
+
 
 def recall_per_query(run: DataFrame, relevant: DataFrame, k: int | None = 50) -> DataFrame:
     """(query, recall) of every query with a relevant item; one that the run lacks has 0."""
@@ -30,31 +33,39 @@ def positive_ranks(run: DataFrame, relevant: DataFrame) -> DataFrame:
     return relevant.distinct().join(best, ["query", "doc"], "left").select("query", "doc", F.coalesce("rnk", F.lit(-1)).alias("rnk"))
 
 
-def cliffs_delta(df: DataFrame, value: str, first: str) -> DataFrame:
-    """(first, others, delta) of two samples in one column; ``first`` is a boolean column.
+def _below(df: DataFrame, value: str, first: str) -> DataFrame:
+    """(v, a, b, a_below, b_below) by distinct value: the rows of either sample with it and with less.
 
-    delta = 2 U / (n1 n2) - 1, ties at half. Values are merged and their counts summed in
-    chunks of the value order, so no task ranks all rows. Null and NaN count for nothing.
+    Values are merged and counted in chunks of their order, so no task ranks all of them.
+    Null and NaN count for nothing; the cuts come to the driver once, for all later reads.
     """
     v = F.col(value).cast("double")
     kept = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(v.alias("v")).agg(F.sum(F.when(F.col(first), 1).otherwise(0)).alias("a"), F.sum(F.when(F.col(first), 0).otherwise(1)).alias("b"))
     cuts = kept.agg(F.percentile_approx("v", [i / 64 for i in range(1, 64)], 1000).alias("c")).first()["c"] or []
     chunk = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c < F.col("v"))) if cuts else F.lit(0)
     cut = kept.withColumn("chunk", chunk)
-    sums = cut.groupBy("chunk").agg(F.sum("b").alias("b")).select("chunk", F.coalesce(F.sum("b").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    below = F.coalesce(F.sum("b").over(Window.partitionBy("chunk").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = cut.withColumn("below", below).join(F.broadcast(sums), "chunk")  # at most 64 rows
-    u = F.sum(F.col("a") * (F.col("before") + F.col("below") + F.col("b") / 2.0))
-    return ranked.agg(F.sum("a").alias("first"), F.sum("b").alias("others"), (2 * u / F.nullif(F.sum("a") * F.sum("b"), F.lit(0)) - 1).alias("delta"))
+    over = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy("chunk").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).select("chunk", *[F.coalesce(F.sum(c).over(over), F.lit(0)).alias(f"{c}_before") for c in "ab"])
+    inside = Window.partitionBy("chunk").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    counted = cut.select("chunk", "v", "a", "b", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"{c}_in") for c in "ab"]).join(F.broadcast(sums), "chunk")  # at most 64 rows
+    return counted.select("v", "a", "b", *[(F.col(f"{c}_before") + F.col(f"{c}_in")).alias(f"{c}_below") for c in "ab"])
+
+
+def cliffs_delta(df: DataFrame, value: str, first: str) -> DataFrame:
+    """(first, others, delta) of two samples in one column; ``first`` is a boolean column.
+
+    delta = 2 U / (n1 n2) - 1, ties at half.
+    """
+    u = F.sum(F.col("a") * (F.col("b_below") + F.col("b") / 2.0))
+    return _below(df, value, first).agg(F.sum("a").alias("first"), F.sum("b").alias("others"), (2 * u / F.nullif(F.sum("a") * F.sum("b"), F.lit(0)) - 1).alias("delta"))
 
 
 def ks_statistic(df: DataFrame, value: str, first: str) -> DataFrame:
-    """(ks): the largest distance of two empirical distributions of few distinct values (word counts and the like)."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.sum(F.when(F.col(first), 1).otherwise(0)).alias("a"), F.sum(F.when(F.col(first), 0).otherwise(1)).alias("b"))
-    upto = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(F.lit(1))
-    gap = F.abs(F.sum("a").over(upto) / F.sum("a").over(every) - F.sum("b").over(upto) / F.sum("b").over(every))
-    return counts.select(gap.alias("gap")).agg(F.max("gap").alias("ks"))
+    """(ks): the largest distance of the two samples' empirical distributions."""
+    counts = _below(df, value, first)
+    totals = counts.agg(F.sum("a").alias("all_a"), F.sum("b").alias("all_b"))
+    upto = lambda c: (F.col(f"{c}_below") + F.col(c)) / F.nullif(F.col(f"all_{c}"), F.lit(0))
+    return counts.crossJoin(F.broadcast(totals)).agg(F.max(F.abs(upto("a") - upto("b"))).alias("ks"))  # one row
 
 
 def breakdown(df: DataFrame, value: str, hit: str, edges: Sequence[float], least: int = 20) -> DataFrame:
@@ -66,6 +77,43 @@ def breakdown(df: DataFrame, value: str, hit: str, edges: Sequence[float], least
     return grouped.where(F.col("n") >= least)
 
 
+def poisson(u: Column) -> Column:
+    """How often a row occurs in a resample: the Poisson(1) number of a uniform one, 8 at most."""
+    total, term, steps = 0.0, math.exp(-1), []
+    for k in range(8):
+        total += term / math.factorial(k)
+        steps.append(F.when(u >= F.lit(total), 1).otherwise(0))
+    return sum(steps[1:], steps[0])
+
+
+def resampled(values: DataFrame, key: str, value: str, resamples: int, seed: int = 0) -> DataFrame:
+    """(resample, mean) of ``value`` over rows weighed by hashed Poisson numbers, a bootstrap without gathering.
+
+    Each (row, resample) draws its weight from the hash of its key, so any engine gives the
+    same means. Null and NaN values are left out; an empty resample has no mean.
+    """
+    rows = values.where(F.col(value).isNotNull() & ~F.isnan(value)).select(F.col(key).cast("string").alias("k"), F.col(value).alias("x"))
+    drawn = rows.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    weight = poisson(uniform(F.concat_ws("|", "resample", "k"), seed))
+    return drawn.withColumn("w", weight).groupBy("resample").agg((F.sum(F.col("w") * F.col("x")) / F.nullif(F.sum("w"), F.lit(0))).alias("mean"))
+
+
+def bootstrap_interval(values: DataFrame, key: str, value: str, resamples: int = 500, confidence: float = 0.95, seed: int = 0) -> DataFrame:
+    """(mean, low, high): the mean of ``value`` and the percentile interval of its resamples."""
+    tail = (1 - confidence) / 2
+    means = resampled(values, key, value, resamples, seed).where("mean is not null")
+    ends = means.agg(F.percentile("mean", F.lit(tail)).alias("low"), F.percentile("mean", F.lit(1 - tail)).alias("high"))
+    whole = values.where(F.col(value).isNotNull() & ~F.isnan(value)).agg(F.avg(value).alias("mean"))
+    return whole.crossJoin(ends)  # a row each
+
+
+def paired_interval(before: DataFrame, after: DataFrame, key: str, value: str, resamples: int = 500, seed: int = 0) -> DataFrame:
+    """(delta, low, high) of the mean difference over the keys that both have."""
+    both = before.select(key, F.col(value).alias("__b")).join(after.select(key, F.col(value).alias("__a")), key)
+    got = bootstrap_interval(both.select(key, (F.col("__a") - F.col("__b")).alias("d")), key, "d", resamples, seed=seed)
+    return got.withColumnRenamed("mean", "delta")
+
+
 def bootstrap_ci(values: Sequence[float], resamples: int = 2000, confidence: float = 0.95, seed: int = 0) -> tuple[float, float, float]:
     """Mean and percentile interval; NaN left out. One number a query comes to the driver."""
     x = np.asarray([v for v in values if v is not None and v == v], float)

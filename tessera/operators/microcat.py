@@ -7,6 +7,7 @@ so a text's score needs only the grams that text and class share.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -36,20 +37,55 @@ class Classifier:
     size: int
     alpha: float
 
+    def _shared(self, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(key, base, mass) of each text with a known gram, and (key, class, extra) of the classes that share one."""
+        w = gram_weights(texts, self.idf).join(self.grams, "gram")
+        base = w.groupBy("key").agg(F.sum(-F.col("w") * F.log(F.col("all") + self.alpha)).alias("base"), F.sum("w").alias("mass"))
+        gain = F.col("w") * (F.log(F.col("all") + self.alpha) - F.log(F.col("all") - F.col("own") + self.alpha))
+        return base, w.join(self.own, "gram").groupBy("key", "class").agg(F.sum(gain).alias("extra"))
+
+    def _rests(self) -> dict:
+        """ln of each class's denominator."""
+        return {c: math.log(self.total - own + self.alpha * self.size) for c, own in self.classes}
+
+    def _each(self, base: DataFrame) -> DataFrame:
+        """(key, base, mass, class, ln) of every class."""
+        kind = dict(self.own.dtypes)["class"]
+        rest = F.array(*[F.struct(F.lit(c).cast(kind).alias("class"), F.lit(ln).alias("ln")) for c, ln in self._rests().items()])
+        return base.select("key", "base", "mass", F.explode(rest).alias("x")).select("key", "base", "mass", "x.class", "x.ln")
+
     def log_proba(self, texts: DataFrame) -> DataFrame:
         """(key, class, lp) for every class and every text with a known gram."""
-        w = gram_weights(texts, self.idf)
-        base = w.join(self.grams, "gram").groupBy("key").agg(F.sum(-F.col("w") * F.log(F.col("all") + self.alpha)).alias("base"), F.sum("w").alias("mass"))
-        shared = w.join(self.own, "gram").join(self.grams, "gram").groupBy("key", "class").agg(F.sum(F.col("w") * (F.log(F.col("all") + self.alpha) - F.log(F.col("all") - F.col("own") + self.alpha))).alias("extra"))
-        kind = dict(self.own.dtypes)["class"]
-        rest = F.array(*[F.struct(F.lit(c).cast(kind).alias("class"), F.log(F.lit(self.total - own + self.alpha * self.size)).alias("ln")) for c, own in self.classes])
-        every = base.select("key", "base", "mass", F.explode(rest).alias("x")).select("key", "base", "mass", "x.class", "x.ln")
-        joint = every.join(shared, ["key", "class"], "left").withColumn("j", F.col("base") + F.coalesce("extra", F.lit(0.0)) + F.col("mass") * F.col("ln"))
+        base, shared = self._shared(texts)
+        joint = self._each(base).join(shared, ["key", "class"], "left").withColumn("j", F.col("base") + F.coalesce("extra", F.lit(0.0)) + F.col("mass") * F.col("ln"))
         by = Window.partitionBy("key")  # a row a class
         top = joint.withColumn("m", F.max("j").over(by))
         return top.withColumn("z", F.log(F.sum(F.exp(F.col("j") - F.col("m"))).over(by)) + F.col("m")).select("key", "class", (F.col("j") - F.col("z")).alias("lp"))
 
 
+def top_classes(model: Classifier, texts: DataFrame, k: int) -> DataFrame:
+    """(key, class, rnk): the ``k`` likeliest classes of each text with a known gram, ties by smaller class.
+
+    A class that shares no gram with a text scores mass * ln, whatever the text, so only the
+    ``k`` best of these by ln can be among the first: with the classes that do share one they
+    are all that is scored. Scores are rounded to 9 digits before they are ranked.
+    """
+    kind = dict(model.own.dtypes)["class"]
+    rests = sorted(model._rests().items(), key=lambda x: (-x[1], x[0]))
+    base, shared = model._shared(texts)
+    if not rests:
+        return base.select("key", F.lit(None).cast(kind).alias("class"), F.lit(0).cast("bigint").alias("rnk")).limit(0)
+    lns = F.broadcast(texts.sparkSession.createDataFrame(rests, f"class {kind}, ln double"))  # at most MOST_CLASSES
+    held = shared.join(lns, "class").groupBy("key").agg(F.collect_list(F.struct("class", "extra", "ln")).alias("s"))
+    rows = base.join(held, "key", "left").withColumn("s", F.coalesce("s", F.array().cast(f"array<struct<class:{kind},extra:double,ln:double>>")))
+    order, known = F.array(*[F.lit(c).cast(kind) for c, _ in rests]), F.create_map(*[x for c, ln in rests for x in (F.lit(c).cast(kind), F.lit(ln))])
+    free = F.slice(F.array_except(order, F.transform("s", lambda x: x["class"])), 1, k)
+    score = lambda c, extra, ln: F.struct(F.round(-(F.col("base") + extra + F.col("mass") * ln), 9).alias("s"), c.alias("class"))
+    all_ = F.concat(F.transform("s", lambda x: score(x["class"], x["extra"], x["ln"])), F.transform(free, lambda c: score(c, F.lit(0.0), F.element_at(known, c))))
+    best = rows.select("key", F.posexplode(F.slice(F.array_sort(all_), 1, k)).alias("rnk", "x"))
+    return best.select("key", "x.class", (F.col("rnk") + 1).cast("bigint").alias("rnk"))
+
+
 def fit(pairs: DataFrame, least_df: int = 3, alpha: float = 0.2, most: int = MOST_CLASSES) -> Classifier:
     """From (text, class) rows; texts are normalised and equal ones worked on once, with their count.
 

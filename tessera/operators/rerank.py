@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.features import FEATURES
+from tessera.sources.tables import read_text, write_text
 
 MISSING = -1e6  # trees split a missing value off
 
@@ -31,6 +33,22 @@ def train(df: DataFrame, features: Sequence[str] = FEATURES, trees: int = 400, d
     return Pipeline(stages=stages).fit(_filled(df, features).withColumn("in_weight", weight))
 
 
+def save_model(model: PipelineModel, folder: str, name: str, features: Sequence[str]) -> None:
+    """The model and, beside it, what it is called, what it reads and what it was fitted to."""
+    model.write().overwrite().save(f"{folder}/model")
+    spark = SparkSession.active()
+    write_text(spark, json.dumps({"name": name, "features": list(features), "objective": "logloss"}), f"{folder}/model.json")
+
+
+def load_model(spark: SparkSession, folder: str) -> tuple[PipelineModel, list[str], str] | None:
+    """(model, its features, its name), or None if there is none."""
+    try:
+        about = json.loads(read_text(spark, f"{folder}/model.json"))
+        return PipelineModel.load(f"{folder}/model"), about["features"], about["name"]
+    except Exception:  # noqa: BLE001 - no model is an answer
+        return None
+
+
 def predict(model: PipelineModel, df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """(query, doc, label, score), the score being the probability of label 1."""
     return model.transform(_filled(df, features)).select("query", "doc", "label", F.element_at(vector_to_array("probability"), 2).alias("score"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import write_file
+
 ID_PATTERN = "^[0-9a-f]{16}$"
 ID_LENGTH = 16
 TOP_K = 50
@@ -63,12 +65,12 @@ def split_problems(problems: Sequence[str]) -> tuple[list[str], list[str]]:
 
 
 def save_submission(answers: DataFrame, path: str, expected: DataFrame, corpus: DataFrame | None = None, top_k: int = TOP_K) -> list[str]:
-    """Writes CSV with LF line ends under ``path`` and returns the warnings; with a problem it raises and writes nothing."""
+    """Writes one CSV file with LF line ends at ``path`` and returns the warnings; with a problem it raises and writes nothing."""
     problems = [r["problem"] for r in validate_submission(answers, expected, corpus, top_k).collect()]
     blocking, warnings = split_problems(problems)
     if blocking:
         raise SubmissionError(", ".join(sorted(blocking)))
-    answers.coalesce(1).write.mode("overwrite").option("header", True).option("lineSep", "\n").option("emptyValue", "").csv(path)
+    write_file(answers, path, "csv", header=True, lineSep="\n", emptyValue="")
     return warnings
 
 

@@ -9,9 +9,11 @@ from tessera.functions import params
 from tessera.functions.keys import shuffled
 from tessera.functions.text import normalize
 from tessera.operators import features, metrics, microcat, rerank
+from tessera.operators.index import build_index, item_fields
 from tessera.operators.packed import known_keys
 from tessera.plans import retrieval, sql
 from tessera.plans.texts import INDEX, corpus_index
+from tessera.session import durable
 from tessera.sources.tables import corpus, read_pairs, read_queries, read_table
 from tessera.streaming import clicks
 
@@ -76,13 +78,19 @@ def microcat_accuracy(spark, folder):
     rows = retrieval._labelled(spark, folder).withColumn("text", normalize("text")).where("text <> ''").withColumn("held", F.substring(shuffled(F.col("text"), 0), 1, 1).isin("0", "1", "2"))
     model = microcat.fit(rows.where("not held"))
     tests = rows.where("held")
-    proba = model.log_proba(tests.select(F.col("text").alias("key"), "text").distinct())
-    ranked = proba.withColumn("rnk", F.row_number().over(Window.partitionBy("key").orderBy(F.round("lp", 9).desc(), "class"))).where("rnk <= 20")
+    ranked = microcat.top_classes(model, tests.select(F.col("text").alias("key"), "text").distinct(), 20)
     hit = tests.select("text", "class").join(ranked.select(F.col("key").alias("text"), "class", "rnk"), ["text", "class"], "left")
     shares = hit.agg(*[F.avg((F.coalesce("rnk", F.lit(99)) <= k).cast("double")).alias(f"k{k}") for k in (1, 3, 5, 10, 20)])
     return shares.select(F.explode(F.array(*[F.struct(F.lit(k).cast("bigint").alias("k"), F.round(f"k{k}", 6).alias("accuracy")) for k in (1, 3, 5, 10, 20)])).alias("x")).select("x.*")
 
 
+def postings_parsed(spark, folder):
+    """Postings of the index as the chain takes it: values of parsed params without the address, descriptions cut."""
+    items = corpus(spark, folder, ["item_id", "item_title_raw", "item_description_raw", "item_infm_params_text"])
+    index = build_index(item_fields(items, keys=_keys(spark, folder), description_chars=300, address=False))
+    return index.postings.select(F.col("doc").alias("item_id"), "field", "term", "tf")
+
+
 def _features(spark, folder) -> DataFrame:
     index = corpus_index(spark, folder)
     pairs = read_pairs(spark, folder, ["search_query", "item_id"])
@@ -98,8 +106,8 @@ def feature_table(spark, folder):
 
 def rerank_gbt(spark, folder):
     """Out-of-fold re-ranking: recall at 5 and 10 beside the fused order and the ceiling."""
-    rows = _features(spark, folder).cache()
-    scores = rerank.cross_validate(rows).cache()
+    rows = durable(_features(spark, folder))
+    scores = durable(rerank.cross_validate(rows))
     truth = retrieval.relevant(spark, folder)
     runs = {"rerank": rerank.ranked(scores, 10), "fused": retrieval.candidate_run(spark, folder).where("rnk <= 10"), "ceiling": rerank.ranked(scores.withColumn("score", F.col("label").cast("double")), 10)}
     out = None
@@ -111,7 +119,7 @@ def rerank_gbt(spark, folder):
 
 def rerank_importance(spark, folder):
     """Importance of the features with and without those that tell of the item alone."""
-    rows = _features(spark, folder).cache()
+    rows = durable(_features(spark, folder))
     plain = [f for f in features.FEATURES if f not in features.PRIORS]
     out = [(name, f, v) for name, used in (("all", features.FEATURES), ("without_priors", plain)) for f, v in rerank.importance(rerank.train(rows, used), used)]
     return spark.createDataFrame(out, "variant string, feature string, importance double")
@@ -119,12 +127,12 @@ def rerank_importance(spark, folder):
 
 def stream_daily_events(spark, folder):
     """Events by day and type, counted by a stream over the table's files."""
-    got = clicks.drain(clicks.windowed_counts(clicks.event_stream(spark, folder)), f"daily_{abs(hash(folder))}")
+    got = clicks.drain(clicks.windowed_counts(clicks.event_stream(spark, folder)))
     return got.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("value", 4).alias("value"))
 
 
 QUERIES = [
-    params_parse, params_values, params_coverage, frequent_values, encoder_texts, branching_entropy, params_discover, microcat_proba, microcat_signal, microcat_accuracy, feature_table,
+    params_parse, params_values, params_coverage, frequent_values, encoder_texts, branching_entropy, params_discover, microcat_proba, microcat_signal, microcat_accuracy, postings_parsed, feature_table,
     rerank_gbt, rerank_importance, stream_daily_events,
 ]
 
@@ -135,23 +143,7 @@ def _entropy(side: str) -> str:
     return f"{side}_ as (select gram, log2(sum(n)) - sum(n * log2(n)) / sum(n) {side}_entropy, max(n)::double / sum(n) {side}_top from (select gram, {side}, count(*) n from kept group by all) group by gram)"
 
 
-_GRAM = f"list_filter(string_split({sql.norm('{t}')}, ' '), lambda t: t <> '')"
-
-
-def _grams(rel: str, key: str, text: str) -> str:
-    """A body giving (key, gram, tf) of the normalised text's character n-grams."""
-    return f"""select k, gram, count(*) tf from (select k, substr(p, i::bigint, n) gram from (select k, p, n, unnest(range(1, greatest(length(p) - n + 2, 2))) i from
-(select {key} k, ' ' || unnest({_GRAM.format(t=text)}) || ' ' p from {rel}) cross join (select unnest([3, 4, 5]) n) where n = 3 or length(p) >= n)) group by all"""
-
-
-_NB = f"""{sql.CORPUS}, tg as ({_grams("train", "pair_id", "search_query")}), nd as (select count(*)::double n from train),
-gi as (select gram, ln((1 + n) / (1 + count(*))) + 1 idf from tg cross join nd group by gram, n having count(*) >= 3),
-tw as (select k, gram, (1 + ln(tf)) * idf w from tg join gi using (gram)), tn as (select k, gram, w / sqrt(sum(w * w) over (partition by k)) w from tw),
-own as (select item_microcat_id c, gram, sum(w) own from tn join train on pair_id = k group by all), al as (select gram, sum(own) a from own group by 1),
-cl as (select c, coalesce(s, 0) s from (select distinct item_microcat_id c from train where item_microcat_id is not null) left join (select c, sum(own) s from own group by 1) using (c)), tot as (select sum(s) t from cl), v as (select count(*) v from al),
-qg as ({_grams("benchmark_queries", "query_id", "search_query")}), qw as (select k, gram, (1 + ln(tf)) * idf w from qg join gi using (gram)), qn as (select k, gram, w / sqrt(sum(w * w) over (partition by k)) w from qw),
-j as (select k, c, sum(w * -ln((a - coalesce(own, 0) + 0.2::double) / (t - s + 0.2::double * v))) j from qn join al using (gram) cross join cl cross join tot cross join v left join own using (c, gram) group by all),
-m as (select k, c, j, max(j) over (partition by k) m from j), lp as (select k, c, j - m - ln(sum(exp(j - m)) over (partition by k)) lp from m)"""
+_NB = f"{sql.CORPUS}, " + sql.bayes("train", "pair_id", "search_query", "item_microcat_id", "benchmark_queries", "query_id", "search_query")
 
 _C = sql.real
 _FEATURES = f"""{INDEX}, {retrieval.RUN}, {retrieval.CENTRE}, {retrieval._PLACE}, titled as (select *, {sql.norm("item_title_raw")} title from items), twin as (select title, count(*) twins from titled group by 1),
@@ -182,7 +174,27 @@ _COLUMNS = {
     "has_desc": "(coalesce(desc_len, 0) > 0)::int::double", "verbatim": "contains(title, normal)::int::double", "phone_hidden": "coalesce(ph, false)::int::double", "msg_forbidden": "coalesce(mf, false)::int::double",
 }
 
+_PAR = sql.params("select item_id id, item_infm_params_text t from items")
+_TELLING = f"value <> '' and not {sql.is_number('value')}"
+_SAID = "coalesce({c}, '')"
+
 SQL = {
+    "params_parse": f"with {sql.CORPUS}, {_PAR} select id item_id, pos, key, value from par",
+    "params_values": f"""with {sql.CORPUS}, {_PAR}, said as (select id, string_agg(value, ' ' order by pos) s from par where {_TELLING} group by id)
+select item_id, coalesce(s, '') "text" from (select distinct item_id, item_infm_params_text from items) left join said on id = item_id""",
+    "params_coverage": f"""with {sql.CORPUS}, {_PAR} select id item_id, round(case when len(w) = 0 then 1 when i is null then 0 else 1 - (i - 1)::double / len(w) end, 6)::double coverage from words_of left join first_key using (id)""",
+    "frequent_values": f"""with {sql.CORPUS}, {_PAR} select value, count(distinct id) items from par where {_TELLING} group by value having count(distinct id) > 0.02::double * (select count(*) from items)""",
+    "encoder_texts": f"""with {sql.CORPUS}, {_PAR}, said as (select id, pos, value from par where {_TELLING} and key <> '{params.ADDRESS_KEY}'),
+common as (select value from said group by value having count(distinct id) > 0.2::double * (select count(*) from items)),
+rare as (select id, string_agg(value, ' ' order by pos) v from said where value not in (select value from common) group by id)
+select item_id, array_to_string(list_filter([coalesce(item_title_raw, ''), coalesce(v, ''), {sql.cut("item_description_raw", 250)}], lambda x: x <> ''), '. ') "text" from items left join rare on id = item_id""",
+    "postings_parsed": f"""with {sql.CORPUS}, {_PAR}, said as (select id, string_agg(value, ' ' order by pos) s from par where {_TELLING} and key <> '{params.ADDRESS_KEY}' group by id),
+docs as (select item_id, 'title' field, item_title_raw t from items union all select item_id, 'params', s from items left join said on id = item_id union all select item_id, 'description', {sql.cut("item_description_raw", 300)} from items)
+select item_id, field, term, count(*) tf from (select item_id, field, unnest({sql.toks("t")}) term from docs) group by all""",
+    "microcat_accuracy": f"""with rows_ as (select *, substr({sql.shuffled("t", 0)}, 1, 1) in ('0', '1', '2') held from (select pair_id, {sql.norm("search_query")} t, item_microcat_id from train) where t <> ''),
+fit_ as (select * from rows_ where not held), ask_ as (select distinct t from rows_ where held), {sql.bayes("fit_", "pair_id", "t", "item_microcat_id", "ask_", "t", "t")},
+ranked as (select k, c, row_number() over (partition by k order by round(j, 9) desc, c) r from j qualify r <= 20), hit as (select coalesce(r, 99) r from rows_ left join ranked on k = t and c = item_microcat_id where held)
+select g::bigint k, round(avg((r <= g)::int), 6) accuracy from hit cross join (select unnest([1, 3, 5, 10, 20]) g) group by g""",
     "branching_entropy": f"""with {sql.CORPUS}, w as (select item_id, {_SPACED} w from items), s as (select item_id, w, unnest(range(1, len(w) + 1)) i from w),
 g as (select item_id, w, i, unnest(range(1, least(5, len(w) - i + 1) + 1)) size from s where regexp_matches(w[i], '^\\p{{Lu}}')),
 c as (select item_id, array_to_string(w[i:i + size - 1], ' ') gram, size, case when i > 1 then w[i - 1] else chr(2) end "before", coalesce(w[i + size], chr(2)) "after" from g),

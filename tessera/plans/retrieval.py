@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.geo import DISTANCE_EDGES, FACET_EDGES, bin_of, haversine, number
-from tessera.functions.text import bare_tokens, coverage, normalize, tokens, word_count
-from tessera.operators import fusion, metrics, microcat, signals, submission
+from tessera.functions.geo import DISTANCE_EDGES, FACET_EDGES, haversine, number
+from tessera.functions.text import coverage, normalize, tokens, word_count
+from tessera.operators import fusion, metrics, signals, submission
 from tessera.operators.exact import closest_vectors, nearest_places
-from tessera.plans import sql
-from tessera.plans.texts import INDEX, asked, corpus_index
+from tessera.plans import chain, sql
+from tessera.plans.texts import INDEX
+from tessera.session import durable
 from tessera.sources.tables import corpus, qrels, read_pairs, read_queries, read_table
 
 SCORES = ["lexical", "geo", "facet", "microcat", "dense"]
 PLACES = ["item_id", "item_latitude", "item_longitude"]
-DENSE_DEPTH = 1000  # nearest vectors of a query that join its lexical hits
+DENSE_DEPTH = chain.DENSE_DEPTH
 
 
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,9 +41,7 @@ def _pairs(spark, folder):
 
 
 def _places(spark, folder):
-    centre = signals.centroids(_pairs(spark, folder), "search_location_id")
-    located = read_queries(spark, folder, ["query_id", "search_location_id"]).select(F.col("query_id").alias("query"), F.col("search_location_id").alias("location"))
-    return signals.query_places(located, centre)
+    return chain.places(chain.open_tables(spark, folder))
 
 
 def search_centroids(spark, folder):
@@ -63,39 +64,27 @@ def facet_calibration(spark, folder):
 
 
 def _geo(spark, folder):
-    scores = signals.log_ratio(signals.geo_histogram(_pairs(spark, folder), corpus(spark, folder, PLACES)), len(DISTANCE_EDGES) - 1)
-    return signals.GeoSignal(_places(spark, folder), signals.item_places(corpus(spark, folder, PLACES)), scores)
+    return chain.geo(chain.open_tables(spark, folder))
 
 
 def _facet(spark, folder):
-    items = corpus(spark, folder, ["item_id", "item_infm_params_text"])
-    scores = signals.log_ratio(signals.facet_histogram(_pairs(spark, folder), items), len(FACET_EDGES) - 1)
-    filters = read_queries(spark, folder, ["query_id", "search_infm_params_text"]).withColumnRenamed("query_id", "query")
-    there = items.select(F.col("item_id").alias("doc"), bare_tokens("item_infm_params_text").alias("there"))
-    return signals.FacetSignal(signals.known_facets(filters, "query", "search_infm_params_text", items), there, scores)
+    return chain.facet(chain.open_tables(spark, folder))
 
 
 def _dense(spark, folder):
-    one = lambda t, i, v, a, b: read_table(spark, f"{folder}/{t}.parquet", [i, v]).where(F.col(i).isNotNull() & signals.proper(v, 64)).select(F.col(i).alias(a), F.col(v).alias(b)).dropDuplicates([a])
-    return signals.DenseSignal(one("query_vectors", "query_id", "query_vector", "query", "qv"), one("item_vectors", "item_id", "item_vector", "doc", "iv"))
+    return chain.dense(chain.open_tables(spark, folder))
 
 
 def _labelled(spark, folder):
-    return read_pairs(spark, folder, ["pair_id", "search_query", "item_microcat_id"]).select(F.col("pair_id").alias("key"), F.col("search_query").alias("text"), F.col("item_microcat_id").alias("class"))
+    return chain.labelled(read_pairs(spark, folder, ["pair_id", "search_query", "item_microcat_id"]))
 
 
 def _ratios(spark, folder):
-    model = microcat.fit(_labelled(spark, folder))
-    texts = asked(spark, folder).withColumnRenamed("query", "key")
-    items = corpus(spark, folder, ["item_id", "item_microcat_id"]).select(F.col("item_id").alias("doc"), F.col("item_microcat_id").alias("class"))
-    return model.log_proba(texts), items
+    return chain.category_ratios(chain.open_tables(spark, folder))
 
 
 def _microcat(spark, folder):
-    proba, items = _ratios(spark, folder)
-    ratios = microcat.log_ratios(proba, items)
-    penalty = ratios.agg(F.percentile("ratio", F.lit(0.05)).alias("p")).first()["p"] or 0.0
-    return signals.MicrocatSignal(ratios.withColumnRenamed("key", "query"), items, penalty)
+    return chain.category(chain.open_tables(spark, folder))
 
 
 def _named(df, *columns):
@@ -138,16 +127,11 @@ def fuse_rrf(spark, folder):
     return _fused(spark, folder, "rrf")
 
 
-def _collected(spark, folder, depth):
-    lexical = corpus_index(spark, folder).scores(asked(spark, folder)).select("query", "doc", F.round("score", 9).alias("lexical"))
-    d = _dense(spark, folder)
-    extra = closest_vectors(d.queries, d.items, DENSE_DEPTH)
-    return fusion.collect(lexical, [_geo(spark, folder), _facet(spark, folder), _microcat(spark, folder), d], fusion.WEIGHTS, depth, extra)
-
-
 def collect_components(spark, folder):
     """The whole chain: every lexical hit and the nearest vectors, four signals, one sum, the best fifty."""
-    return _named(_collected(spark, folder, 50), "rnk", *[F.round(c, 5).alias(c) for c in (*SCORES, "total")])
+    tables = chain.open_tables(spark, folder)
+    got = chain.collected(tables, chain.lexical_index(tables), 50)
+    return _named(got, "rnk", *[F.round(c, 5).alias(c) for c in (*SCORES, "total")])
 
 
 def pad_nearest(spark, folder):
@@ -157,10 +141,10 @@ def pad_nearest(spark, folder):
 
 
 def nearest_items(spark, folder):
-    """The control baseline: the ten nearest items of each query's place."""
+    """The control baseline: the fifty nearest items of each query's place."""
     places = _places(spark, folder).where("qlat is not null")
     items = signals.item_places(corpus(spark, folder, PLACES)).where("ilat is not null and ilon is not null")
-    return _named(nearest_places(places, items, 10), "rnk", F.round(-F.col("score"), 6).alias("km"))
+    return _named(nearest_places(places, items, 50), "rnk", F.round(-F.col("score"), 6).alias("km"))
 
 
 def recall_per_query(spark, folder):
@@ -199,7 +183,7 @@ def describe_positives(spark, folder):
 
 def hits_vs_misses(spark, folder):
     """Medians of hits and misses and the effect size of misses against hits."""
-    rows = _described(spark, folder).withColumn("miss", ~F.col("hit")).cache()
+    rows = durable(_described(spark, folder).withColumn("miss", ~F.col("hit")))
     out = None
     for name in ("words", "km", "twins", "title_coverage"):
         v = F.col(name).cast("double")
@@ -226,15 +210,38 @@ def submission_validate(spark, folder):
 
 
 def bootstrap_interval(spark, folder):
-    values = [r["recall"] for r in metrics.recall_per_query(candidate_run(spark, folder), relevant(spark, folder), 10).collect()]
-    return spark.createDataFrame([metrics.bootstrap_ci(sorted(values))], "mean double, low double, high double")
+    """Mean recall at 10 and the interval of its resamples."""
+    recalls = metrics.recall_per_query(candidate_run(spark, folder), relevant(spark, folder), 10)
+    return metrics.bootstrap_interval(recalls, "query", "recall").select(*[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
 def paired_interval(spark, folder):
     """The gain in recall at 10 of fusing over the lexical order."""
     truth = relevant(spark, folder)
-    recalls = lambda weights: {r["query"]: r["recall"] for r in metrics.recall_per_query(fusion.fuse(candidates(spark, folder), weights, 10), truth, 10).collect()}
-    return spark.createDataFrame([metrics.paired_bootstrap(recalls({}), recalls(fusion.WEIGHTS))], "delta double, low double, high double")
+    recalls = lambda weights: metrics.recall_per_query(fusion.fuse(candidates(spark, folder), weights, 10), truth, 10)
+    return metrics.paired_interval(recalls({}), recalls(fusion.WEIGHTS), "query", "recall").select(*[F.round(c, 6).alias(c) for c in ("delta", "low", "high")])
+
+
+#: The weights that a descent tries, signal by signal, and where it begins.
+DESCENT = {
+    "facet": (0.0, 0.01, 0.02, 0.05, 0.10, 0.20), "microcat": (0.0, 0.005, 0.01, 0.02, 0.05, 0.10),
+    "dense": (0.0, 0.05, 0.1, 0.2, 0.35, 0.5, 0.8), "geo": (0.0, 0.02, 0.05, 0.10, 0.15, 0.20, 0.35),
+}
+START = {"geo": 0.10, "facet": 0.10, "microcat": 0.02, "dense": 0.0}
+
+
+def weight_descent(spark, folder):
+    """Coordinate descent of the weights by recall at 10: each signal's grid in one job over the kept components."""
+    rows = candidates(spark, folder)
+    rows = durable(rows.withColumn("lexical", F.col("lexical") / F.greatest(F.max("lexical").over(Window.partitionBy("query")), F.lit(1e-9))))
+    return fusion.descend(rows, relevant(spark, folder), START, DESCENT, 10)
+
+
+def random_items(spark, folder):
+    """The control baseline of chance: fifty items drawn without replacement for each judged query."""
+    items = corpus(spark, folder, ["item_id"])
+    run = fusion.random_run(relevant(spark, folder).select("query").distinct(), items.select(F.col("item_id").alias("doc")), 50, 9)
+    return _named(run, "rnk")
 
 
 def weight_search(spark, folder):
@@ -254,7 +261,7 @@ def weight_search(spark, folder):
 QUERIES = [
     search_centroids, item_centroids, geo_calibration, facet_calibration, geo_score, facet_score, dense_score, dense_topk, fuse_normalized, fuse_raw, fuse_rrf, collect_components, pad_nearest,
     nearest_items, recall_per_query, recall_curve, candidate_coverage, positive_ranks, describe_positives, hits_vs_misses, breakdown_by_distance, submission_build, submission_validate,
-    bootstrap_interval, paired_interval, weight_search,
+    bootstrap_interval, paired_interval, weight_search, weight_descent, random_items,
 ]
 
 _R = sql.real
@@ -296,6 +303,42 @@ def _signals(pairs: str) -> str:
   left join gs on gs.bin = {sql.bin_of("km", DISTANCE_EDGES)} left join fs on fs.bin = {sql.bin_of("share", FACET_EDGES)} left join qv using (query_id) left join iv using (item_id))"""
 
 
+_RECALL10 = "select query_id, count(case when rnk <= 10 then 1 end)::double / count(*) r from rel left join {run} using (query_id, item_id) group by 1"
+
+
+def _poisson(u: str) -> str:
+    """The number of thresholds of the Poisson(1) distribution that a uniform number reaches."""
+    total, out = 0.0, []
+    for k in range(8):
+        total += math.exp(-1) / math.factorial(k)
+        out.append(f"({u} >= {total!r}::double)::int")
+    return "(" + " + ".join(out) + ")"
+
+
+def _interval(values: str, name: str) -> str:
+    """The mean of a relation (query_id, r) and the interval of its 500 resamples."""
+    return f"""select (select round(avg(r), 6) from {values}) "{name}", round(quantile_cont(m, 0.025), 6) low, round(quantile_cont(m, 0.975), 6) high from
+(select b, sum(w * r) / nullif(sum(w), 0) m from (select b, r, {_poisson("u")} w from (select b, r, {sql.uniform("b || '|' || query_id", 0)} u from {values} cross join (select unnest(range(500)) b))) group by b) where m is not null"""
+
+
+def _fused(name: str, total: str) -> str:
+    return f"{name} as (select query_id, item_id, row_number() over (partition by query_id order by round({total}, 9) desc, item_id) rnk from topped)"
+
+
+def _descent() -> str:
+    """Each step's recalls in a CTE that reads the weights chosen by the steps before."""
+    steps, weight = [], {s: f"{w!r}::double" for s, w in START.items()}
+    parts = [f"with {RUN}, comp as (select query_id, item_id, lexical / greatest(max(lexical) over (partition by query_id), 1e-9) lexical, geo, facet, microcat, dense from cand), size as (select query_id, count(*) size from rel group by 1)"]
+    for n, (signal, grid) in enumerate(DESCENT.items(), 1):
+        total = "lexical + " + " + ".join(f"{w} * {s}" for s, w in weight.items() if s != signal)
+        parts.append(f"""t{n} as (select w, query_id, item_id, row_number() over (partition by w, query_id order by round({total} + w * {signal}, 9) desc, item_id) rnk from comp cross join (select unnest({list(grid)})::double w) qualify rnk <= 10),
+f{n} as (select w, round(sum(1.0::double / size) / (select count(*) from size), 6) recall from t{n} join rel using (query_id, item_id) join size using (query_id) group by w),
+r{n} as materialized (select w, coalesce(recall, 0) recall from (select unnest({list(grid)})::double w) left join f{n} using (w)), b{n} as materialized (select w from r{n} order by recall desc, w limit 1)""")
+        weight[signal] = f"(select w from b{n})"
+        steps.append(f"select {n}::bigint step, '{signal}' signal, w weight, recall, w = (select w from b{n}) chosen from r{n}")
+    return ", ".join(parts) + " " + " union all ".join(steps)
+
+
 _ALL = f"{GEO}, {FACET}, {_CURVES}, {_QW}, {_PLACE}, {_VEC}"
 _SIGNED = f"with {sql.CORPUS}, {CAND}, {_ALL}, {_signals('(select query_id, item_id from cand)')}"
 _TOP50 = "row_number() over (partition by query_id order by total desc, item_id)"
@@ -325,14 +368,17 @@ select query_id, {_TOP50} rnk, item_id, round(total, 6) total from s qualify rnk
 select query_id, {_TOP50} rnk, item_id, round(total, 6) total from s qualify rnk <= 50""",
     "fuse_rrf": f"""with {CAND}, s as (select query_id, item_id, round({" + ".join(f"{w}::double / (60 + row_number() over (partition by query_id order by {c} desc, item_id) - 1)" for c, w in (("lexical", 1), ("geo", 0.1), ("facet", 0.1), ("microcat", 0.02), ("dense", 0.5)))}, 9) total from cand)
 select query_id, {_TOP50} rnk, item_id, round(total, 6) total from s qualify rnk <= 50""",
-    "collect_components": f"""with {INDEX}, {_ALL}, {_DTOP}, pool as (select query_id, item_id, round(score, 9) lexical from lex union all select query_id, item_id, 0.0::double from dtop where (query_id, item_id) not in (select (query_id, item_id) from lex)),
-{_signals("pool")}, s as (select *, round(lexical / (case when max(lexical) over (partition by query_id) = 0 then 1 else max(lexical) over (partition by query_id) end) + 0.1::double * geo + 0.1::double * facet + 0.5::double * dense, 9) total from sig)
-select query_id, {_TOP50} rnk, item_id, {", ".join(f"round({c}, 5) {c}" for c in ("lexical", "geo", "facet", "dense", "total"))} from s qualify rnk <= 50""",
+    "collect_components": f"""with {INDEX}, {_ALL}, {_DTOP.replace("rnk <= 20", "rnk <= 1000")}, {sql.bayes("train", "pair_id", "search_query", "item_microcat_id", "benchmark_queries", "query_id", "search_query")},
+pool as (select query_id, item_id, round(score, 9) lexical from lex union all select query_id, item_id, 0.0::double from dtop where (query_id, item_id) not in (select (query_id, item_id) from lex)), {_signals("pool")},
+cshare as (select item_microcat_id c, count(*) n from items group by 1), ratio as (select k, c, lp - ln(coalesce(n, 1) / (select count(*)::double from items)) ratio from lp left join cshare using (c)),
+csig as (select sig.*, coalesce(ratio, (select quantile_cont(ratio, 0.05) from ratio)) microcat from sig left join items using (item_id) left join ratio on k = query_id and c = item_microcat_id),
+s as (select *, round(lexical / (case when max(lexical) over (partition by query_id) = 0 then 1 else max(lexical) over (partition by query_id) end) + 0.1::double * geo + 0.1::double * facet + 0.02::double * microcat + 0.5::double * dense, 9) total from csig)
+select query_id, {_TOP50} rnk, item_id, {", ".join(f"round({c}, 5) {c}" for c in ("lexical", "geo", "facet", "microcat", "dense", "total"))} from s qualify rnk <= 50""",
     "pad_nearest": f"""with {sql.CORPUS}, {RUN}, {CENTRE}, {_PLACE}, top as (select * from run where rnk <= 50), have as (select query_id, qlat, qlon, coalesce(n, 0) n from place left join (select query_id, count(*) n from top group by 1) using (query_id)),
 near as (select query_id, item_id, n, row_number() over (partition by query_id order by round({_KM}, 12), item_id) + n rnk from have cross join items where n < 50 and {_KM} is not null and (query_id, item_id) not in (select (query_id, item_id) from top))
 select query_id, rnk, item_id from top union all select query_id, rnk, item_id from near where rnk <= 50""",
     "nearest_items": f"""with {sql.CORPUS}, {CENTRE}, {_PLACE}, near as (select query_id, item_id, round({_KM}, 12) km from place cross join items where {_KM} is not null)
-select query_id, row_number() over (partition by query_id order by km, item_id) rnk, item_id, round(km, 6) km from near qualify rnk <= 10""",
+select query_id, row_number() over (partition by query_id order by km, item_id) rnk, item_id, round(km, 6) km from near qualify rnk <= 50""",
     "recall_per_query": f"with {RUN} select query_id, round(count(case when rnk <= 50 then 1 end)::double / count(*), 6) recall from rel left join run using (query_id, item_id) group by 1",
     "recall_curve": f"""with {RUN}, each as (select k, query_id, count(case when rnk <= k then 1 end)::double / count(*) r from rel left join run using (query_id, item_id) cross join (select unnest([1, 5, 10, 20, 50, 100, 200, 500, 1000]) k) group by all)
 select k::bigint k, round(avg(r), 6) recall from each group by 1""",
@@ -349,6 +395,14 @@ union all select 'unknown_queries', count(*) from l where query_id not in (selec
 union all select 'too_many_items', count(*) from l where n > 50 union all select 'repeated_items', count(*) from l where n <> d
 union all select 'malformed_items', count(*) from ids where not regexp_full_match(item_id, '[0-9a-f]{{16}}') union all select 'items_outside_corpus', count(*) from ids where item_id not in (select item_id from items))
 select problem, n from p where n > 0""",
+    "bootstrap_interval": f"with {RUN}, v as ({_RECALL10.format(run='run')}) {_interval('v', 'mean')}",
+    "paired_interval": f"""with {RUN}, topped as (select *, case when max(lexical) over (partition by query_id) = 0 then 1 else max(lexical) over (partition by query_id) end top from cand), {_fused("lex_run", "lexical / top")}, {_fused("all_run", "lexical / top + 0.1::double * geo + 0.1::double * facet + 0.02::double * microcat + 0.5::double * dense")},
+v as (select query_id, a.r - b.r r from ({_RECALL10.format(run="all_run")}) a join ({_RECALL10.format(run="lex_run")}) b using (query_id)) {_interval("v", "delta")}""",
+    "weight_descent": _descent(),
+    "random_items": f"""with {sql.CORPUS}, {sql.QRELS}, ids as (select distinct item_id from items), nd as (select count(*) n from ids), placed as (select item_id, row_number() over (order by {sql.shuffled("item_id", 9)}, item_id) - 1 slot from ids),
+st as (select min(s) step from (select unnest(range(greatest(1, floor(n * 0.618::double)::bigint), n + 2)) s, n from nd) where gcd(s, n) = 1),
+d as (select query_id, i + 1 rnk, (floor({sql.uniform("query_id", 9)} * n)::bigint + i * step) % n slot from (select distinct query_id from rel) cross join nd cross join st cross join (select unnest(range(50)) i) where i < n)
+select query_id, rnk, item_id from d join placed using (slot)""",
     "weight_search": f"""with {RUN}, s as (select query_id, item_id, lexical / greatest(max(lexical) over (partition by query_id), 1e-9) lexical, geo, facet, dense from cand),
 g as (select unnest([0.0, 0.1, 0.3])::double wg), f as (select unnest([0.0, 0.1])::double wf), d as (select unnest([0.0, 0.5, 1.0])::double wd),
 t as (select wg, wf, wd, query_id, item_id, row_number() over (partition by wg, wf, wd, query_id order by round(lexical + wg * geo + wf * facet + wd * dense, 9) desc, item_id) rnk from s cross join g cross join f cross join d qualify rnk <= 10),

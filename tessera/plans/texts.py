@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.keys import composite_key, numbered, short_id, shuffled, uniform
+from tessera.functions.keys import composite_key, numbered, short_id, uniform
 from tessera.functions.text import char_ngrams, normalize, tokens, truncate, word_count
+from tessera.operators.benchmark import sample_rows, sample_weighted
 from tessera.operators.index import Field, Index, build_index, item_fields, query_terms
 from tessera.plans import sql
 from tessera.sources.tables import corpus, read_items, read_pairs, read_queries, read_table
@@ -15,7 +16,7 @@ TEXTS = ["item_id", "item_title_raw", "item_description_raw", "item_infm_params_
 
 
 def corpus_index(spark: SparkSession, folder: str) -> Index:
-    return build_index(item_fields(corpus(spark, folder, TEXTS)))
+    return build_index(item_fields(corpus(spark, folder, TEXTS)), keep=True)
 
 
 def asked(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,14 +84,14 @@ def frequent_words(spark, folder):
 
 def sample_pairs(spark, folder):
     """A thousand pairs, the same in any engine."""
-    return read_pairs(spark, folder, ["pair_id", "item_id"]).orderBy(shuffled(F.col("pair_id"), 7), "pair_id").limit(1000)
+    return sample_rows(read_pairs(spark, folder, ["pair_id", "item_id"]), "pair_id", 1000, 7)
 
 
 def weighted_sample(spark, folder):
     """Two hundred items without replacement, with chances by their reviews."""
-    items = corpus(spark, folder, ["item_id", "item_rating_reviews_count"]).where("item_rating_reviews_count > 0 and not isnan(item_rating_reviews_count)")
-    race = F.round(-F.log(uniform(F.col("item_id"), 11)) / F.col("item_rating_reviews_count"), 12)
-    return items.select("item_id", race.alias("race")).orderBy("race", "item_id").limit(200)
+    items = corpus(spark, folder, ["item_id", "item_rating_reviews_count"]).where("not isnan(item_rating_reviews_count)").withColumnRenamed("item_rating_reviews_count", "weight")
+    race = F.round(-F.log(uniform(F.col("item_id"), 11)) / F.col("weight"), 12)
+    return sample_weighted(items, "item_id", 200, 11).select("item_id", race.alias("race"))
 
 
 def random_background(spark, folder):

@@ -14,6 +14,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
 }
@@ -51,17 +52,22 @@ def durable(df: DataFrame) -> DataFrame:
     gets a temporary one, removed at exit; a cluster without it is refused, as no folder of
     one machine would do. The result survives the loss of executors.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, set if it wasn't."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
-            if not context.master.startswith("local"):
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="tessera-")
             atexit.register(shutil.rmtree, shared, ignore_errors=True)
         context.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
 
 
 def sampled(df: DataFrame, rows: int, most: int, seed: int = 5) -> DataFrame:
