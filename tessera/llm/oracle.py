@@ -1,5 +1,14 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from tessera.plans import sql
+
+_SEARCHES = f"""
+with {sql.packed("select distinct search_infm_params_text id, search_infm_params_text t from train")},
+sets as (select id, list_sort(list(distinct coalesce(param_key, '') || chr(31) || val)) s from vals group by id),
+keyed as (select pair_id, item_category_id, trim(regexp_replace(translate(lower(coalesce(search_query, '')), 'ёaeopcx', 'еаеорсх'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) q, search_location_id l, coalesce(s, []) s
+  from train left join sets on id = search_infm_params_text where pair_id is not null)
+"""
+
 _TERMS = """
 with items as (select item_id, min(struct_pack(a := item_title_raw, b := item_description_raw, c := item_infm_params_text)) s
                from benchmark_items where item_id is not null group by item_id),
@@ -30,6 +39,8 @@ placed as (select query_id, item_id, n, ["""
 _WORDS = """regexp_extract_all(replace(lower(regexp_replace(replace(replace({t}, chr(173), ''), chr(8203), ''), '<[^<>]{{0,20}}>', ' ', 'g')), 'ё', 'е'), '[0-9a-zа-я]+')"""
 
 SQL = {
+    "p2_found": _SEARCHES + """, sized as (select pair_id, min(pair_id) over w group_id, count(*) over w n from keyed where q <> '' window w as (partition by q, l, s))
+select pair_id, group_id from sized where n > 1""",
     "p8_found": f"""
 with e as (select eval_id, {_WORDS.format(t="passage")} w from eval_passages),
 d as (select doc_id, {_WORDS.format(t="text")} w from documents),
