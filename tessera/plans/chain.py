@@ -146,7 +146,7 @@ def collected(t: Tables, index: Index, depth: int, weights: dict[str, float] = f
     lexical = durable(index.scores(t.asked(with_filter)).select("query", "doc", F.round("score", 9).alias("lexical")))
     vectors = next((s for s in found if s.name == "dense"), None)
     extra = None if vectors is None or not dense_depth else closest_vectors(vectors.queries, vectors.items, dense_depth)
-    return fusion.collect(lexical, found, weights, depth, extra, config)
+    return fusion.collect(lexical, found, {s.name: weights[s.name] for s in found}, depth, extra, config)
 
 
 def feature_rows(t: Tables, index: Index, components: DataFrame, truth: DataFrame | None = None) -> DataFrame:

@@ -20,8 +20,8 @@ def work(tmp_path_factory):
 
 @pytest.fixture
 def run(spark, work, capsys):
-    def call(*args):
-        assert main(["--data", FOLDER, "--work", work, *args], spark) == 0
+    def call(*args, data=FOLDER):
+        assert main(["--data", data, "--work", work, *args], spark) == 0
         return json.loads(capsys.readouterr().out)
 
     return call
@@ -59,29 +59,30 @@ def test_answer_without_vectors_says_so(spark):
 
 
 def test_benchmark_commands(run, spark, work):
-    made = run("split", "--seen-share", "0.3")
+    larger = FOLDER.replace("sf0.001", "sf0.01")  # so that each fold has positives
+    made = run("split", "--seen-share", "0.3", data=larger)
     assert made["sizes"]["queries"] >= 1
     assert {b["run"] for b in made["baselines"]} == {"random", "nearest"}
     local = benchmark.LocalBenchmark.load(spark, f"{work}/local_benchmark")
     assert local.meta == made["meta"]
     assert benchmark.LocalBenchmark.load(spark, f"{work}/local_benchmark", {**local.meta, "seed": 1}) is None
-    pairs = tables.read_pairs(spark, FOLDER)
+    pairs = tables.read_pairs(spark, larger)
     items = local.corpus_items(pairs, ["item_price"])
     assert items.count() == local.corpus.count()
     held = {r.query_id for r in local.query_ids().collect()}
     assert not held & {r.query_id for r in benchmark.with_query_id(local.fitted(pairs)).collect()}
     with pytest.raises(KeyError, match="1 items"):
         benchmark.LocalBenchmark(local.queries, local.qrels, local.corpus.unionAll(spark.createDataFrame([("x",)], "item_id string")), local.fit_pairs, local.donor, {}).corpus_items(pairs)
-    found = run("baseline", "--no-grid")
+    found = run("baseline", "--no-grid", data=larger)
     assert {r["run"] for r in found["recall"]} == {"text", "text+filter"}
-    assert run("donor-set", "--n-queries", "30")["queries"] >= 1
-    steps = run("fuse")["steps"]
+    assert run("donor-set", "--n-queries", "30", data=larger)["queries"] >= 1
+    steps = run("fuse", data=larger)["steps"]
     assert {s["signal"] for s in steps} == {"facet", "microcat", "geo"}  # local queries have no vectors
-    recalls = {r["run"]: r["mean"] for r in run("rerank", "--save", "--trees", "2", "--depth", "2")["recall"]}
+    recalls = {r["run"]: r["mean"] for r in run("rerank", "--save", "--trees", "2", "--depth", "2", data=larger)["recall"]}
     assert max(recalls.values()) == recalls["ceiling"]
     model, used, name = rerank.load_model(spark, f"{work}/reranker")
     assert (len(used), name) == (35, "all")
-    lost = run("errors")
+    lost = run("errors", data=larger)
     assert lost["places"][0]["relevant"] == local.qrels.count()
     assert open(f"{work}/reports/errors.csv").readline().startswith("query,doc,rnk,hit")
     # The saved model now ranks the real queries' answer, and its features are kept.
