@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.features import FEATURES
+from tessera.session import together
 from tessera.sources.tables import read_text, write_text
 
 MISSING = -1e6  # trees split a missing value off
@@ -62,12 +64,10 @@ def importance(model: PipelineModel, features: Sequence[str] = FEATURES) -> list
 def cross_validate(df: DataFrame, folds: int = 5, seed: int = 0, features: Sequence[str] = FEATURES, **how) -> DataFrame:
     """Out-of-fold (query, doc, label, score); a query's candidates are all in one fold."""
     split = df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), "query"), F.lit(folds)))
-    out = None
-    for k in range(folds):
-        model = train(split.where(F.col("fold") != k), features, **how)
-        part = predict(model, split.where(F.col("fold") == k), features)
-        out = part if out is None else out.unionAll(part)
-    return out
+    # A fit is many small jobs one after the other; those of the folds fill each other's gaps.
+    models = together(*[lambda k=k: train(split.where(F.col("fold") != k), features, **how) for k in range(folds)])
+    parts = [predict(model, split.where(F.col("fold") == k), features) for k, model in enumerate(models)]
+    return reduce(DataFrame.unionAll, parts)
 
 
 def ranked(scores: DataFrame, k: int, prior: DataFrame | None = None) -> DataFrame:

@@ -132,10 +132,15 @@ class MicrocatSignal:
         return pairs.join(self.items, "doc", "left").join(self.ratios, ["query", "class"], "left").withColumn(self.name, F.coalesce("ratio", F.lit(self.penalty))).drop("class", "ratio")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two array<float> columns of equal length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+def dot(a: Column, b: Column) -> Column:
+    """Of two array columns of equal length."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
+
+
+def unit(v: Column) -> Column:
+    """A vector as doubles of length one."""
+    size = F.sqrt(dot(v, v))
+    return F.transform(v, lambda x: x.cast("double") / size)
 
 
 def proper(column: str, dims: int) -> Column:
@@ -153,8 +158,10 @@ class DenseSignal:
     name: str = "dense"
 
     def apply(self, pairs: DataFrame) -> DataFrame:
-        joined = pairs.join(self.queries, "query", "left").join(self.items, "doc", "left")
-        return joined.withColumn(self.name, F.coalesce(cosine(F.col("qv"), F.col("iv")), F.lit(0.0))).drop("qv", "iv")
+        # Brought to length one before they meet, so that a pair takes one product.
+        asked, there = self.queries.withColumn("qv", unit(F.col("qv"))), self.items.withColumn("iv", unit(F.col("iv")))
+        joined = pairs.join(asked, "query", "left").join(there, "doc", "left")
+        return joined.withColumn(self.name, F.coalesce(dot(F.col("qv"), F.col("iv")), F.lit(0.0))).drop("qv", "iv")
 
 
 def describe(signals: Sequence[tuple[Signal, float]]) -> str:

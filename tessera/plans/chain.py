@@ -15,7 +15,7 @@ from tessera.operators.benchmark import LocalBenchmark
 from tessera.operators.exact import closest_vectors
 from tessera.operators.index import FIELDS, K1, Field, Index, build_index, item_fields
 from tessera.operators.packed import known_keys
-from tessera.session import durable
+from tessera.session import durable, together
 from tessera.sources.tables import QUERY_FIELDS, load_tables, read_items, read_pairs, read_queries, read_table, read_vectors, save_tables
 
 DENSE_DEPTH = 1000  # nearest vectors of a query that join its lexical hits
@@ -137,15 +137,19 @@ def all_signals(t: Tables, weights: dict[str, float]) -> list:
     make = {"geo": geo, "facet": facet, "microcat": category}
     if t.item_vectors is not None and t.query_vectors is not None:
         make["dense"] = dense
-    return [f(t) for name, f in make.items() if weights.get(name)]
+    return together(*[lambda f=f: f(t) for name, f in make.items() if weights.get(name)])
 
 
 def collected(t: Tables, index: Index, depth: int, weights: dict[str, float] = fusion.WEIGHTS, config: fusion.Fusion = fusion.Fusion(), dense_depth: int = DENSE_DEPTH, with_filter: bool = False) -> DataFrame:
     """The best ``depth`` of each query with their components: every lexical hit and the nearest vectors, all signals, one sum."""
-    found = all_signals(t, weights)
-    lexical = durable(index.scores(t.asked(with_filter)).select("query", "doc", F.round("score", 9).alias("lexical")))
-    vectors = next((s for s in found if s.name == "dense"), None)
-    extra = None if vectors is None or not dense_depth else closest_vectors(vectors.queries, vectors.items, dense_depth)
+    def near() -> DataFrame | None:
+        if not (weights.get("dense") and dense_depth) or t.item_vectors is None or t.query_vectors is None:
+            return None
+        vectors = dense(t)
+        return durable(closest_vectors(vectors.queries, vectors.items, dense_depth).select("query", "doc"))
+
+    by_text = lambda: durable(index.scores(t.asked(with_filter)).select("query", "doc", F.round("score", 9).alias("lexical")))
+    lexical, extra, found = together(by_text, near, lambda: all_signals(t, weights))
     return fusion.collect(lexical, found, {s.name: weights[s.name] for s in found}, depth, extra, config)
 
 

@@ -13,7 +13,7 @@ from tessera.operators.index import build_index, item_fields
 from tessera.operators.packed import known_keys
 from tessera.plans import retrieval, sql
 from tessera.plans.texts import INDEX, corpus_index
-from tessera.session import durable
+from tessera.session import durable, together
 from tessera.sources.tables import corpus, read_pairs, read_queries, read_table
 from tessera.streaming import clicks
 
@@ -121,7 +121,8 @@ def rerank_importance(spark, folder):
     """Importance of the features with and without those that tell of the item alone."""
     rows = durable(_features(spark, folder))
     plain = [f for f in features.FEATURES if f not in features.PRIORS]
-    out = [(name, f, v) for name, used in (("all", features.FEATURES), ("without_priors", plain)) for f, v in rerank.importance(rerank.train(rows, used), used)]
+    fits = together(lambda: rerank.train(rows), lambda: rerank.train(rows, plain))
+    out = [(name, f, v) for name, used, model in zip(("all", "without_priors"), (features.FEATURES, plain), fits, strict=True) for f, v in rerank.importance(model, used)]
     return spark.createDataFrame(out, "variant string, feature string, importance double")
 
 

@@ -5,10 +5,16 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -56,6 +62,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def together(*makers: Callable[[], T]) -> list[T]:
+    """The results of functions that each run jobs of their own, run at the same time, so that small jobs fill each other's gaps."""
+    with ThreadPoolExecutor(max(1, len(makers))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(SparkSession.active())(m)) for m in makers]]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder, set if it wasn't."""
     context = spark.sparkContext
