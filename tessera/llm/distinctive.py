@@ -7,21 +7,46 @@ their relative entropy, p(t|d) ln(p(t|d) / p(t|C)).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.packed import one_per_key
-from tessera.operators.skew import enrich
+from tessera.operators.skew import salt_of
+from tessera.session import durable
 
 WORD = "[a-zа-я]{4,}"
 
 
-def words(fields: Sequence[str], pattern: str = WORD) -> Column:
-    """All words of the fields, in lower case with ё as е; a word never spans two fields."""
+def term_counts(df: DataFrame, record: str, fields: Sequence[str], pattern: str = WORD) -> DataFrame:
+    """(r, len, term, tf) of each row: the matches of ``pattern`` in its fields, in lower case with ё as е.
+
+    A word never spans two fields; ``len`` counts all matches. A row's words are counted where
+    its text is, so no token is ever shuffled or hashed against other rows.
+    """
     text = F.concat_ws("\n", *[F.col(f) for f in fields])
-    return F.regexp_extract_all(F.translate(F.lower(text), "ё", "е"), F.lit(pattern), F.lit(0))
+    rows = df.select(F.col(record).alias("r"), F.replace(F.lower(text), F.lit("ё"), F.lit("е")).alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(pattern).findall
+        for batch in batches:
+            row: list[int] = []
+            length: list[int] = []
+            term: list[str] = []
+            tf: list[int] = []
+            for i, words in enumerate(map(find, batch.column("text").to_pylist())):
+                held = Counter(words)
+                row.extend([i] * len(held))
+                length.extend([len(words)] * len(held))
+                term.extend(held.keys())
+                tf.extend(held.values())
+            yield pa.RecordBatch.from_arrays([batch.column("r").take(pa.array(row, pa.int32())), pa.array(length, pa.int64()), pa.array(term, pa.string()), pa.array(tf, pa.int64())], names=["r", "len", "term", "tf"])
+
+    return rows.mapInArrow(count, f"r {dict(rows.dtypes)['r']}, len bigint, term string, tf bigint")
 
 
 def term_scores(
@@ -35,19 +60,13 @@ def term_scores(
     one number that goes to the driver is the collection's length. A word that most records
     share is spread over salts in the join with its own counts.
     """
-    texts = one_per_key(df, record, fields)
-    counted = texts.select(F.col(record).alias("r"), words(fields, pattern).alias("w")).select("r", F.size("w").alias("len"), F.explode("w").alias("term"))
-    tf = counted.groupBy("r", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    length = texts.select(F.sum(F.size(words(fields, pattern)))).first()[0] or 0
-    df_bounds = F.col("df") >= least_df if most_df is None else F.col("df").between(least_df, most_df)
-    joined = enrich(
-        tf,
-        ["term"],
-        partial={"__d": F.count(F.lit(1)), "__c": F.sum("tf")},
-        total={"df": F.sum("__d"), "__cf": F.sum("__c")},
-        spread=["r"],
-        having=df_bounds,
-    )
-    background = F.col("__cf") / F.lit(float(max(length, 1)))
+    tf = term_counts(one_per_key(df, record, fields), record, fields, pattern).withColumn("salt", salt_of(["r"]))
+    first = tf.groupBy("term", "salt").agg(F.count(F.lit(1)).alias("d"), F.sum("tf").alias("c"))
+    # One row a term, kept: the collection's length and the join both read it.
+    terms = durable(first.groupBy("term").agg(F.sum("d").alias("df"), F.sum("c").alias("cf"), F.collect_list("salt").alias("salts")))
+    length = terms.agg(F.sum("cf")).first()[0] or 0
+    bounds = F.col("df") >= least_df if most_df is None else F.col("df").between(least_df, most_df)
+    joined = tf.join(terms.where(bounds).select("term", "df", "cf", F.explode("salts").alias("salt")), ["term", "salt"])
+    background = F.col("cf") / F.lit(float(max(length, 1)))
     own = (F.col("tf") + mu * background) / (F.col("len") + mu)
     return joined.select(F.col("r").alias(record), "term", "tf", "df", (own * F.log(own / background)).alias("score"))
