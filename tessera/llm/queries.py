@@ -11,11 +11,10 @@ from tessera.llm.leakage import leaked, without_leaks
 from tessera.llm.leximin import leximin_best, score_places
 from tessera.llm.mixing import clean_name, known_targets, leaf_sizes, mix, mix_plan, short_sources, sized_records
 from tessera.llm.split import grouped_split, search_key
-from tessera.llm.subjects import LISTED, Terms, hash_share, labelled_sample, learn_terms, subject_areas
+from tessera.llm.subjects import Terms, labelled_sample, learn_terms, subject_areas
 from tessera.llm.topn import best_items, top_n
-from tessera.operators.packed import known_keys, one_per_key, split_values
+from tessera.operators.packed import known_keys
 
-MOST_AREAS = 10_000
 ITEM_TEXTS = ["item_title_raw", "item_description_raw", "item_infm_params_text"]
 
 
@@ -123,24 +122,9 @@ def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
     return aims.join(mixed, "source", "left").select("source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.round(F.coalesce("tokens", F.lit(0)) / F.sum("tokens").over(whole), 9).alias("actual_share"))
 
 
-def _listing_sample(spark: SparkSession, folder: str, most: int) -> list[tuple[str, list]]:
-    """About ``most`` listings as labelled texts: a value of their params is what subject_areas says an area is about."""
-    items = table(spark, folder, "benchmark_items").where("item_id is not null and item_infm_params_text is not null")
-    some = one_per_key(items.where(hash_share("item_id", items.count(), most)), "item_id", ITEM_TEXTS)
-    text = some.select("item_id", F.concat_ws("\n", "item_title_raw", "item_description_raw").alias("text"), "item_infm_params_text")
-    about = [(r[0], r[1]) for r in table(spark, folder, "subject_areas").where("about is not null and subject_id is not null").select("about", "subject_id").distinct().limit(MOST_AREAS + 1).collect()]
-    if len(about) > MOST_AREAS:
-        raise ValueError(f"more than {MOST_AREAS} areas")
-    areas = spark.createDataFrame(about, "val string, subject_id bigint")
-    values = split_values(text, "item_infm_params_text", known_keys(table(spark, folder, "param_keys")), ["item_id", "text"])
-    named = values.join(F.broadcast(areas), "val").groupBy("item_id").agg(F.min("text").alias("text"), F.collect_set("subject_id").alias("own"))
-    return [(r["text"], r["own"]) for r in sorted(named.where(F.size("own") == 1).collect(), key=lambda r: r["item_id"])]
-
-
 def _subject_terms(spark: SparkSession, folder: str) -> Terms:
-    """Learned from about ``LABELLED`` labelled documents and about ``LISTED`` listings that name their area."""
-    labelled = labelled_sample(table(spark, folder, "documents"), table(spark, folder, "subject_labels"), ("doc_id", "text"), "subject_id")
-    return learn_terms(labelled + _listing_sample(spark, folder, LISTED))
+    """Learned from about ``LABELLED`` labelled documents."""
+    return learn_terms(labelled_sample(table(spark, folder, "documents"), table(spark, folder, "subject_labels"), ("doc_id", "text"), "subject_id"))
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -29,7 +29,6 @@ TAG = re.compile(r"<[^<>]{0,20}>")
 WORD = re.compile("[0-9a-zа-я]+")
 STOP = re.compile(r"[.!?…]+(?=\s|$)|\n+")
 LABELLED = 20_000  # labelled documents that a term list is learnt from, about
-LISTED = 10_000  # labelled texts of another kind beside them, about
 GRID = (0.3, 0.4, 0.5, 0.6, 0.7)
 
 Sentences = list[list[str]]
