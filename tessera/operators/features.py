@@ -41,9 +41,10 @@ def build_features(components: DataFrame, queries: DataFrame, context: DataFrame
     """
     asked = queries.withColumn("normal", normalize("text"))
     texts = queries.select("query", "text")
-    title = index.presence(components, texts, "title").select("query", "doc", F.col("coverage").alias("title_cov"), F.col("coverage_idf").alias("title_cov_idf"), F.col("bm25").alias("title_bm25"))
-    desc = index.presence(components, texts, "description").select("query", "doc", F.col("coverage").alias("desc_cov"), F.col("bm25").alias("desc_bm25"))
-    rows = components.join(asked, "query").join(context, "doc").join(places, "query", "left").join(title, ["query", "doc"]).join(desc, ["query", "doc"])
+    there = index.presences(components, texts, ["title", "description"]).select(
+        "query", "doc", F.col("title_coverage").alias("title_cov"), F.col("title_coverage_idf").alias("title_cov_idf"), "title_bm25", F.col("description_coverage").alias("desc_cov"), F.col("description_bm25").alias("desc_bm25")
+    )
+    rows = components.join(asked, "query").join(context, "doc").join(places, "query", "left").join(there, ["query", "doc"])
     if pairs is None:
         rows = rows.withColumn("memory", F.lit(0.0))
     else:

@@ -111,21 +111,30 @@ class Index:
     def presence(self, pairs: DataFrame, queries: DataFrame, field: str) -> DataFrame:
         """For each (query, doc) of ``pairs`` the coverage of the query's known terms in ``field``
         plain and by idf (0 without terms), and the field's own BM25."""
-        f = next((x for x in self.fields if x.name == field), None)
-        if f is None:
-            raise KeyError(field)
-        average = self.averages().get(field, 1.0)
+        got = self.presences(pairs, queries, [field])
+        return got.select("query", "doc", *[F.col(f"{field}_{c}").alias(c) for c in ("coverage", "coverage_idf", "bm25")])
+
+    def presences(self, pairs: DataFrame, queries: DataFrame, names: Sequence[str]) -> DataFrame:
+        """``presence`` of several fields at once, their names before the columns': pairs meet their terms only once."""
+        chosen = {f.name: f for f in self.fields}
+        missing = [n for n in names if n not in chosen]
+        if missing:
+            raise KeyError(", ".join(missing))
+        averages = self.averages()
         wanted = query_terms(queries).join(self.vocabulary.select("term", "idf"), "term")
         asked = pairs.select("query", "doc").distinct().join(wanted, "query", "left")
-        there = self.postings.where(F.col("field") == field).select("doc", "term", "tf", "len")
-        hit = asked.join(there, ["doc", "term"], "left")
-        tf = F.coalesce(F.col("tf"), F.lit(0)).cast("double")
-        x = tf / (1 - f.b + f.b * F.coalesce(F.col("len"), F.lit(0)) / average)
-        return hit.groupBy("query", "doc").agg(
-            F.coalesce(F.sum(F.when(tf > 0, 1.0).otherwise(0.0)) / F.nullif(F.count("term"), F.lit(0)), F.lit(0.0)).alias("coverage"),
-            F.coalesce(F.sum(F.when(tf > 0, F.col("idf")).otherwise(0.0)) / F.nullif(F.sum("idf"), F.lit(0.0)), F.lit(0.0)).alias("coverage_idf"),
-            F.coalesce(F.sum(F.col("idf") * x / (self.k1 + x)), F.lit(0.0)).alias("bm25"),
-        )
+        of = lambda n, c: F.max(F.when(F.col("field") == n, F.col(c))).alias(f"{c}_{n}")
+        there = self.postings.where(F.col("field").isin(list(names))).groupBy("doc", "term").agg(*[of(n, c) for n in names for c in ("tf", "len")])
+        out = []
+        for n in names:
+            tf = F.coalesce(F.col(f"tf_{n}"), F.lit(0)).cast("double")
+            x = tf / (1 - chosen[n].b + chosen[n].b * F.coalesce(F.col(f"len_{n}"), F.lit(0)) / averages.get(n, 1.0))
+            out += [
+                F.coalesce(F.sum(F.when(tf > 0, 1.0).otherwise(0.0)) / F.nullif(F.count("term"), F.lit(0)), F.lit(0.0)).alias(f"{n}_coverage"),
+                F.coalesce(F.sum(F.when(tf > 0, F.col("idf")).otherwise(0.0)) / F.nullif(F.sum("idf"), F.lit(0.0)), F.lit(0.0)).alias(f"{n}_coverage_idf"),
+                F.coalesce(F.sum(F.col("idf") * x / (self.k1 + x)), F.lit(0.0)).alias(f"{n}_bm25"),
+            ]
+        return asked.join(there, ["doc", "term"], "left").groupBy("query", "doc").agg(*out)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:

@@ -8,21 +8,51 @@ so a text's score needs only the grams that text and class share.
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import char_ngrams, normalize
+from tessera.functions.text import lowered, normalize
 from tessera.session import durable
 
 MOST_CLASSES = 10_000
 
 
-def gram_weights(texts: DataFrame, idf: DataFrame) -> DataFrame:
-    """(key, gram, w): sublinear tf times idf, to unit length; unknown grams are left out. ``texts`` has (key, text)."""
-    grams = texts.select("key", F.explode(char_ngrams("text")).alias("gram")).groupBy("key", "gram").agg(F.count(F.lit(1)).alias("tf"))
-    raw = grams.join(idf, "gram").select("key", "gram", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+def gram_counts(texts: DataFrame, least: int = 3, most: int = 5) -> DataFrame:
+    """(key, gram, tf) of (key, text): the n-grams of ``char_ngrams``, counted where the text is.
+
+    A short text has some hundred grams of a few dozen words, so counting them in the batch
+    spares the shuffle and the hashing of every single one.
+    """
+    rows = texts.select("key", lowered("text").alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile("[0-9a-zа-я]+").findall
+        for batch in batches:
+            row: list[int] = []
+            gram: list[str] = []
+            tf: list[int] = []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                held: Counter = Counter()
+                for word in map(" {} ".format, find(text)):
+                    for n in range(least, min(most, len(word)) + 1):
+                        held.update(word[j : j + n] for j in range(len(word) - n + 1))
+                row.extend([i] * len(held))
+                gram.extend(held.keys())
+                tf.extend(held.values())
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row, pa.int32())), pa.array(gram, pa.string()), pa.array(tf, pa.int64())], names=["key", "gram", "tf"])
+
+    return rows.mapInArrow(count, f"key {dict(rows.dtypes)['key']}, gram string, tf bigint")
+
+
+def gram_weights(counts: DataFrame, idf: DataFrame) -> DataFrame:
+    """(key, gram, w) of gram counts: sublinear tf times idf, to unit length; unknown grams are left out."""
+    raw = counts.join(idf, "gram").select("key", "gram", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("key")))  # the grams of one short text
     return raw.select("key", "gram", (F.col("w") / size).alias("w"))
 
@@ -39,7 +69,7 @@ class Classifier:
 
     def _shared(self, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(key, base, mass) of each text with a known gram, and (key, class, extra) of the classes that share one."""
-        w = gram_weights(texts, self.idf).join(self.grams, "gram")
+        w = gram_weights(gram_counts(texts.select("key", "text").distinct()), self.idf).join(self.grams, "gram")
         base = w.groupBy("key").agg(F.sum(-F.col("w") * F.log(F.col("all") + self.alpha)).alias("base"), F.sum("w").alias("mass"))
         gain = F.col("w") * (F.log(F.col("all") + self.alpha) - F.log(F.col("all") - F.col("own") + self.alpha))
         return base, w.join(self.own, "gram").groupBy("key", "class").agg(F.sum(gain).alias("extra"))
@@ -89,16 +119,17 @@ def top_classes(model: Classifier, texts: DataFrame, k: int) -> DataFrame:
 def fit(pairs: DataFrame, least_df: int = 3, alpha: float = 0.2, most: int = MOST_CLASSES) -> Classifier:
     """From (text, class) rows; texts are normalised and equal ones worked on once, with their count.
 
-    The model's two tables are kept in the shared folder. Over ``most`` classes raise ValueError.
+    The texts' grams and the model's tables are kept in the shared folder. Over ``most`` classes raise ValueError.
     """
-    rows = pairs.where(F.col("class").isNotNull()).groupBy(normalize("text").alias("key"), "class").agg(F.count(F.lit(1)).alias("n"))
+    rows = durable(pairs.where(F.col("class").isNotNull()).groupBy(normalize("text").alias("key"), "class").agg(F.count(F.lit(1)).alias("n")))
     texts = rows.groupBy("key").agg(F.sum("n").alias("n"))
-    grams = texts.select("n", F.explode(F.array_distinct(char_ngrams("key"))).alias("gram")).groupBy("gram").agg(F.sum("n").alias("df")).where(F.col("df") >= least_df)
-    n = texts.agg(F.sum("n")).first()[0] or 0
+    counts = durable(gram_counts(texts.select("key", F.col("key").alias("text"))))
+    grams = counts.join(texts, "key").groupBy("gram").agg(F.sum("n").alias("df")).where(F.col("df") >= least_df)
+    n = rows.agg(F.sum("n")).first()[0] or 0
     idf = durable(grams.select("gram", (F.log((1.0 + n) / (1 + F.col("df"))) + 1).alias("idf")))
-    weights = gram_weights(texts.select("key", F.col("key").alias("text")), idf).join(rows, "key")
+    weights = gram_weights(counts, idf).join(rows, "key")
     own = durable(weights.groupBy("class", "gram").agg(F.sum(F.col("w") * F.col("n")).alias("own")))
-    every = own.groupBy("gram").agg(F.sum("own").alias("all"))
+    every = durable(own.groupBy("gram").agg(F.sum("own").alias("all")))
     classes = rows.select("class").distinct().join(own.groupBy("class").agg(F.sum("own").alias("s")), "class", "left").limit(most + 1).collect()
     if len(classes) > most:
         raise ValueError(f"more than {most} classes")

@@ -237,6 +237,14 @@ def weight_descent(spark, folder):
     return fusion.descend(rows, relevant(spark, folder), START, DESCENT, 10)
 
 
+def lexical_grid(spark, folder):
+    """Recall at 50 of the text search under 88 weightings, in one job."""
+    from tessera.plans.experiments import lexical_grid as grid
+
+    tables = chain.open_tables(spark, folder, dense=False)
+    return grid(chain.lexical_index(tables), tables.asked(), relevant(spark, folder))
+
+
 def random_items(spark, folder):
     """The control baseline of chance: fifty items drawn without replacement for each judged query."""
     items = corpus(spark, folder, ["item_id"])
@@ -261,7 +269,7 @@ def weight_search(spark, folder):
 QUERIES = [
     search_centroids, item_centroids, geo_calibration, facet_calibration, geo_score, facet_score, dense_score, dense_topk, fuse_normalized, fuse_raw, fuse_rrf, collect_components, pad_nearest,
     nearest_items, recall_per_query, recall_curve, candidate_coverage, positive_ranks, describe_positives, hits_vs_misses, breakdown_by_distance, submission_build, submission_validate,
-    bootstrap_interval, paired_interval, weight_search, weight_descent, random_items,
+    bootstrap_interval, paired_interval, weight_search, weight_descent, lexical_grid, random_items,
 ]
 
 _R = sql.real
@@ -399,6 +407,13 @@ select problem, n from p where n > 0""",
     "paired_interval": f"""with {RUN}, topped as (select *, case when max(lexical) over (partition by query_id) = 0 then 1 else max(lexical) over (partition by query_id) end top from cand), {_fused("lex_run", "lexical / top")}, {_fused("all_run", "lexical / top + 0.1::double * geo + 0.1::double * facet + 0.02::double * microcat + 0.5::double * dense")},
 v as (select query_id, a.r - b.r r from ({_RECALL10.format(run="all_run")}) a join ({_RECALL10.format(run="lex_run")}) b using (query_id)) {_interval("v", "delta")}""",
     "weight_descent": _descent(),
+    "lexical_grid": f"""with {INDEX}, {sql.QRELS}, h as (select query_id, item_id, term, any_value(idf) idf, {", ".join(f"sum(case when field = '{f}' then tf / (1 - b + b * len / a) else 0 end) {c}" for f, c in (("title", "t"), ("params", "p"), ("description", "d")))}
+  from qt join post using (term) join len using (item_id, field) join av using (field) join par using (field) join idf using (term) group by all),
+g as (select gt, gp, gd, 1.2::double gk from (select unnest([1, 2, 3, 5, 8, 20, 40])::double gt) cross join (select unnest([0, 0.1, 0.25, 0.5])::double gp) cross join (select unnest([0.5, 1, 2])::double gd) union all select 20, 0.5, 1, unnest([0.6, 0.9, 1.6, 2.2])::double),
+sc as (select gt, gp, gd, gk, query_id, item_id, round(sum(idf * (gt * t + gp * p + gd * d) / (gk + gt * t + gp * p + gd * d)), 9) s from h cross join g group by all),
+rk as (select *, row_number() over (partition by gt, gp, gd, gk, query_id order by s desc, item_id) r from sc qualify r <= 50), size as (select query_id, count(*) size from rel group by 1),
+hit as (select gt, gp, gd, gk, sum(1.0::double / size) v from rk join rel using (query_id, item_id) join size using (query_id) where s > 0 group by all)
+select gt title, gp params, gd description, gk k1, round(coalesce(v, 0) / (select count(*) from size), 6)::double recall from g left join hit using (gt, gp, gd, gk)""",
     "random_items": f"""with {sql.CORPUS}, {sql.QRELS}, ids as (select distinct item_id from items), nd as (select count(*) n from ids), placed as (select item_id, row_number() over (order by {sql.shuffled("item_id", 9)}, item_id) - 1 slot from ids),
 st as (select min(s) step from (select unnest(range(greatest(1, floor(n * 0.618::double)::bigint), n + 2)) s, n from nd) where gcd(s, n) = 1),
 d as (select query_id, i + 1 rnk, (floor({sql.uniform("query_id", 9)} * n)::bigint + i * step) % n slot from (select distinct query_id from rel) cross join nd cross join st cross join (select unnest(range(50)) i) where i < n)

@@ -8,7 +8,8 @@ from tessera.plans import models, reports, retrieval, texts, training
 FOLDER = "/root/testdata/sf0.001"
 PARTS = (training, texts, retrieval, reports, models)
 ALL = {name: (query, part.oracle_sql().get(name)) for part in PARTS for name, query in part.queries().items()}
-SLOW = {"rerank_gbt", "rerank_importance", "benchmark_build", "benchmark_leaks", "benchmark_compare", "raking_weights", "microcat_accuracy"}
+#: Fits of 400 trees; test_whole_jobs has them with fewer.
+SLOW = {"rerank_gbt", "rerank_importance"}
 
 
 def plain(row):

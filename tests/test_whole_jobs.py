@@ -92,3 +92,42 @@ def test_registered_reranker_has_the_full_model(spark, monkeypatch):
     assert used == [(400, 6, 0.05)] * 5
     models.rerank_importance(spark, FOLDER)
     assert used == [(400, 6, 0.05)] * 7
+
+
+def test_rerank_queries_with_few_trees(spark, monkeypatch):
+    larger = FOLDER.replace("sf0.001", "sf0.01")
+    whole = rerank.GBTClassifier
+    monkeypatch.setattr(rerank, "GBTClassifier", lambda maxIter, maxDepth, **how: whole(maxIter=3, maxDepth=3, **how))  # noqa: N803
+    recall = {(r.run, r.k): r.recall for r in models.rerank_gbt(spark, larger).collect()}
+    assert recall.keys() == {(run, k) for run in ("rerank", "fused", "ceiling") for k in (5, 10)}
+    assert all(recall["ceiling", k] >= max(recall["rerank", k], recall["fused", k]) for k in (5, 10))
+    found = models.rerank_importance(spark, larger).collect()
+    for variant, n in (("all", 35), ("without_priors", 28)):
+        own = [r.importance for r in found if r.variant == variant]
+        assert len(own) == n
+        assert sum(own) == pytest.approx(1)
+
+
+def test_found_keys_are_those_of_the_params(spark, duck):
+    found = {r.key for r in models.params_discover(spark, FOLDER.replace("sf0.001", "sf0.01")).collect()}
+    known = {" ".join(k.split()) for (k,) in duck.sql("select param_key from param_keys").fetchall()}
+    # Keys that always end in the same words, or that only part of the listings have, are told apart by these alone.
+    assert len(found & known) >= len(known) / 2
+
+
+def test_nearest_places_widen_until_they_have_enough(spark):
+    import random
+
+    from tessera.operators.exact import _by_all, nearest_places
+
+    rng = random.Random(4)
+    rows = [(f"i{n:04d}", rng.gauss(55, 0.2), rng.gauss(37, 0.3)) for n in range(1500)] + [(f"f{n:03d}", rng.uniform(-90, 90), rng.uniform(-180, 180)) for n in range(150)]
+    rows += [("odd1", 95.0, 30.0), ("odd2", 55.0, 400.0), ("same1", 10.0, 10.0), ("same0", 10.0, 10.0)]
+    items = spark.createDataFrame(rows, "doc string, ilat double, ilon double")
+    asked = spark.createDataFrame([("a", 55.0, 37.0), ("b", 55.0, 37.0), ("c", -60.0, -170.0), ("d", 10.0, 10.0), ("e", 91.0, 0.0), ("f", 0.0, 180.0)], "query string, qlat double, qlon double")
+    for k, sample in ((1, 8192), (20, 300), (2000, 8192)):
+        got = {(r.query, r.rnk): (r.doc, r.score) for r in nearest_places(asked, items, k, sample).collect()}
+        want = {(r.query, r.rnk): (r.doc, r.score) for r in _by_all(asked, items, k).collect()}
+        assert got == want
+    assert nearest_places(asked, items.limit(0), 3).count() == 0
+    assert nearest_places(asked.limit(0), items, 3).count() == 0
