@@ -68,7 +68,8 @@ def components(df: DataFrame, row_id: str, keys: Sequence[Sequence[str]], carry:
     are in one component. A single key makes stars, which are components. Several are merged
     by alternating large and small stars, each step written to the checkpoint folder, in a
     number of steps about logarithmic in the length of the longest chain. Nodes of many
-    neighbours are spread by salts. Rows with a null id take no part; ids are to be unique.
+    neighbours are spread by salts. Rows with a null id take no part; a repeated id is one
+    node, each of its rows coming out. A key with a null in it links nothing; an empty table gives no row.
     """
     names = list(dict.fromkeys(c for key in keys for c in key))
     kept = [f"__c{i}" for i in range(len(carry))]
