@@ -329,7 +329,7 @@ def _interval(values: str, name: str) -> str:
 (select b, sum(w * r) / nullif(sum(w), 0) m from (select b, r, {_poisson("u")} w from (select b, r, {sql.uniform("b || '|' || query_id", 0)} u from {values} cross join (select unnest(range(500)) b))) group by b) where m is not null"""
 
 
-def _fused(name: str, total: str) -> str:
+def _order_by(name: str, total: str) -> str:
     return f"{name} as (select query_id, item_id, row_number() over (partition by query_id order by round({total}, 9) desc, item_id) rnk from topped)"
 
 
@@ -404,7 +404,7 @@ union all select 'too_many_items', count(*) from l where n > 50 union all select
 union all select 'malformed_items', count(*) from ids where not regexp_full_match(item_id, '[0-9a-f]{{16}}') union all select 'items_outside_corpus', count(*) from ids where item_id not in (select item_id from items))
 select problem, n from p where n > 0""",
     "bootstrap_interval": f"with {RUN}, v as ({_RECALL10.format(run='run')}) {_interval('v', 'mean')}",
-    "paired_interval": f"""with {RUN}, topped as (select *, case when max(lexical) over (partition by query_id) = 0 then 1 else max(lexical) over (partition by query_id) end top from cand), {_fused("lex_run", "lexical / top")}, {_fused("all_run", "lexical / top + 0.1::double * geo + 0.1::double * facet + 0.02::double * microcat + 0.5::double * dense")},
+    "paired_interval": f"""with {RUN}, topped as (select *, case when max(lexical) over (partition by query_id) = 0 then 1 else max(lexical) over (partition by query_id) end top from cand), {_order_by("lex_run", "lexical / top")}, {_order_by("all_run", "lexical / top + 0.1::double * geo + 0.1::double * facet + 0.02::double * microcat + 0.5::double * dense")},
 v as (select query_id, a.r - b.r r from ({_RECALL10.format(run="all_run")}) a join ({_RECALL10.format(run="lex_run")}) b using (query_id)) {_interval("v", "delta")}""",
     "weight_descent": _descent(),
     "lexical_grid": f"""with {INDEX}, {sql.QRELS}, h as (select query_id, item_id, term, any_value(idf) idf, {", ".join(f"sum(case when field = '{f}' then tf / (1 - b + b * len / a) else 0 end) {c}" for f, c in (("title", "t"), ("params", "p"), ("description", "d")))}
