@@ -180,4 +180,6 @@ def stratified_split(df: DataFrame, component: str, label: str, shares: dict[str
     # Both are bounded: the cells above, and a thousand heavy components.
     out = placed.select("c", "size", "rare", "bin").join(F.broadcast(by_one), "c", "left").join(F.broadcast(by_cell), ["rare", "bin"], "left")
     splits = F.array(*[F.lit(s) for s in shares])
-    return out.select(F.col("c").alias(component), F.col("size").alias("n_rows"), F.element_at(splits, F.coalesce("t", "s") + 1).alias("split"))
+    at = F.coalesce("t", "s")
+    # Not element_at alone: of a literal array it gives the last entry for a null place.
+    return out.select(F.col("c").alias(component), F.col("size").alias("n_rows"), F.when(at.isNotNull(), F.element_at(splits, at + 1)).alias("split"))
