@@ -91,7 +91,8 @@ def weighted_sample(spark, folder):
     """Two hundred items without replacement, with chances by their reviews."""
     items = corpus(spark, folder, ["item_id", "item_rating_reviews_count"]).where("not isnan(item_rating_reviews_count)").withColumnRenamed("item_rating_reviews_count", "weight")
     race = F.round(-F.log(uniform(F.col("item_id"), 11)) / F.col("weight"), 12)
-    return sample_weighted(items, "item_id", 200, 11).select("item_id", race.alias("race"))
+    n = min(200, items.where("weight > 0").count())
+    return sample_weighted(items, "item_id", n, 11).select("item_id", race.alias("race"))
 
 
 def random_background(spark, folder):

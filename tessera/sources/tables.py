@@ -92,7 +92,9 @@ def write_file(df: DataFrame, path: str, format: str, **options) -> None:
     spark = df.sparkSession
     aside = f"{path}.{uuid.uuid4().hex}"
     try:
-        df.coalesce(1).write.format(format).options(**options).save(aside)
+        # A table without a partition would give no file at all.
+        one = df.repartition(1) if df.isEmpty() else df.coalesce(1)
+        one.write.format(format).options(**options).save(aside)
         folder, system = _path(spark, aside)
         part = next(f.getPath() for f in system.listStatus(folder) if f.getPath().getName().startswith("part-"))
         target, _ = _path(spark, path)
