@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions.keys import QUERY_COLUMNS, composite_key, short_id, shuffled, uniform
 from tessera.functions.text import word_count
 from tessera.operators.selection import hex_value, least
+from tessera.session import durable
 from tessera.sources.tables import ITEM_FIELDS, load_tables, save_tables
 
 MATCHED = ("location", "empty_filter", "words")
@@ -125,16 +126,16 @@ def build(pairs: DataFrame, queries: DataFrame, n_queries: int, corpus_size: int
     queries leave the fit until enough items are unseen; the corpus has all positives and
     seen and unseen items filled up to ``corpus_size`` in the wanted share.
     """
-    keyed = with_query_id(pairs)
-    first = keyed.select("query_id", *QUERY_COLUMNS).distinct()
-    pool = descriptors(first)
+    # Ids, held-out queries, donor and corpus are each read many times, so they are computed once.
+    keyed = durable(with_query_id(pairs).select("pair_id", "query_id", "item_id", *QUERY_COLUMNS))
+    pool = durable(descriptors(keyed.select("query_id", *QUERY_COLUMNS).distinct()))
     weighted = raking_weights(pool, target_marginals(descriptors(queries)))
-    held = sample_weighted(weighted, "query_id", n_queries, seed).select("query_id", *QUERY_COLUMNS)
+    held = durable(sample_weighted(durable(weighted), "query_id", n_queries, seed).select("query_id", *QUERY_COLUMNS))
     truth = keyed.join(held.select("query_id"), "query_id", "left_semi").select("query_id", "item_id").distinct()
     free = keyed.join(held.select("query_id"), "query_id", "left_anti")
     seen_target = round(seen_share * corpus_size)
-    donor = donor_cut(free, corpus_size - seen_target, seed)
-    fit = free.join(donor, "query_id", "left_anti")
+    donor = durable(donor_cut(free, corpus_size - seen_target, seed))
+    fit = durable(free.select("pair_id", "query_id", "item_id").join(donor, "query_id", "left_anti"))
     positives = truth.select("item_id").distinct()
     fit_items = fit.select("item_id").distinct()
     from_positives = positives.join(fit_items, "item_id", "left_semi").count()
@@ -146,7 +147,7 @@ def build(pairs: DataFrame, queries: DataFrame, n_queries: int, corpus_size: int
     unseen_n = corpus_size - n_positives - seen_n
     if unseen_n > unseen_pool.count():
         raise ValueError("not enough unseen items: raise seen_share or lower corpus_size")
-    items = positives.unionAll(pick(seen_pool, seen_n)).unionAll(pick(unseen_pool, unseen_n))
+    items = durable(positives.unionAll(pick(seen_pool, seen_n)).unionAll(pick(unseen_pool, unseen_n)))
     return {"queries": held, "qrels": truth, "corpus": items, "fit_pairs": fit.select("pair_id", "query_id", "item_id"), "donor": donor}
 
 

@@ -69,7 +69,7 @@ class Classifier:
 
     def _shared(self, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(key, base, mass) of each text with a known gram, and (key, class, extra) of the classes that share one."""
-        w = gram_weights(gram_counts(texts.select("key", "text").distinct()), self.idf).join(self.grams, "gram")
+        w = durable(gram_weights(gram_counts(texts.select("key", "text").distinct()), self.idf).join(self.grams, "gram"))
         base = w.groupBy("key").agg(F.sum(-F.col("w") * F.log(F.col("all") + self.alpha)).alias("base"), F.sum("w").alias("mass"))
         gain = F.col("w") * (F.log(F.col("all") + self.alpha) - F.log(F.col("all") - F.col("own") + self.alpha))
         return base, w.join(self.own, "gram").groupBy("key", "class").agg(F.sum(gain).alias("extra"))
