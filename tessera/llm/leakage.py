@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -49,24 +50,31 @@ class SuffixAutomaton:
     def __init__(self, passages: Iterable[tuple[object, str | None]], least: int):
         self.least = least
         self.next: list[dict[str, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        self.link, self.length = array("i", [-1]), array("i", [0])
         sequences = [(i, w) for i, t in passages if i is not None and len(w := plain_words(t)) >= least]
         for _, words in sequences:
             last = 0
             for word in words:
                 last = self._extend(last, word)
         self.vocabulary = frozenset(w for _, words in sequences for w in words)
-        self.holders: list[set] = [set() for _ in self.next]
+        # Most states have one holder, so equal sets are one object and a state costs a reference.
+        nobody: frozenset = frozenset()
+        self.holders: list[frozenset] = [nobody] * len(self.next)
+        known: dict[tuple[frozenset, object], frozenset] = {}
         for who, words in sequences:
             at = 0
             for word in words:
                 at = self.next[at][word]
                 state = at
                 while state > 0 and self.length[state] >= least and who not in self.holders[state]:
-                    self.holders[state].add(who)
+                    now = self.holders[state]
+                    more = known.get((now, who))
+                    if more is None:
+                        more = known[now, who] = now | {who}
+                    self.holders[state] = more
                     state = self.link[state]
         # A shorter run has the holders of the longer ones it ends; where it has no more, a search passes it by.
-        self.up = [0] * len(self.next)
+        self.up = array("i", bytes(4 * len(self.next)))
         for state in sorted(range(1, len(self.next)), key=self.length.__getitem__):
             above = self.link[state]
             if above > 0 and self.length[above] >= least:
